@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, linededup, mixing, quality, simhash, tokencount
+from tallyweave.llm import bpe, chat, linededup, media, mixing, quality, secrets, simhash, substrings, tokencount
 from tallyweave.llm.shared import table
 
 
@@ -16,6 +16,30 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pictures = media.stored(docs, "text", "media").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media")
+    f = media.media_features(pictures, "media", "f").select("doc_id", "n_bytes", "f.*")
+    feature = F.format_string("jpeg:%dx%d:%s:%s", "width", "height", "average_hash", "difference_hash")
+    return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "error")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.deduplicated(docs, "doc_id", "text", spans="removed")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda s: s["kind"].isin(*(r.kind for r in secrets.BASE)))
+    return found.select("doc_id", *(count(r.kind) for r in secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
+
+
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = bpe.encoding_digests(docs, vocabulary_path("word_bpe_49k.json"), "text", "encoding")
@@ -52,6 +76,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_quality_rules, op7_mixing, op8_token_counts, op9_line_dedup, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_substring_dedup, op3_secrets, op4_perspectives, op5_bpe, op6_quality_rules, op7_mixing, op8_token_counts, op9_line_dedup, op10_simhash, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
