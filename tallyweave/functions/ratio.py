@@ -1,7 +1,8 @@
 """Text similarity by longest matching blocks, the one comparison that has no native expression.
 
-The ratio depends on the order of its arguments and on the blocks found, so it runs as an Arrow function; callers
-compute it on distinct pairs only.
+The ratio depends on the order of its arguments and on the blocks found, so it runs as an Arrow function. All pairs of a row go
+through one call, equal and empty ones are decided without comparing, and each Python process remembers the pairs
+it has seen; nothing is shuffled for it.
 """
 
 from __future__ import annotations
@@ -12,32 +13,39 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+PAIRS = "array<struct<l: string, r: string>>"
 
-@lru_cache(maxsize=50_000)
+
+@lru_cache(maxsize=100_000)
 def _ratio(left: str, right: str) -> float:
-    return SequenceMatcher(None, left, right).ratio()
+    if left == right:
+        return 1.0
+    return SequenceMatcher(None, left, right).ratio() if left and right else 0.0
 
 
-def text_ratio(left: Column, right: Column) -> Column:
-    """2 * matched characters / all characters; null counts as empty, two empty texts agree."""
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _ratios(rows: pa.Array) -> pa.Array:
+    return pa.array(([_ratio(p["l"] or "", p["r"] or "") for p in pairs or []] for pairs in rows.to_pylist()), pa.list_(pa.float64()))
 
-    @F.arrow_udf("double")
-    def of(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_ratio(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
-    return of(left, right)
+def with_text_ratios(df: DataFrame, pairs: Column, out: str) -> DataFrame:
+    """``df`` with an array column: for an array of (l, r), 2 * matched characters / all characters of each pair.
 
+    Null counts as empty, two empty texts agree.
+    """
+    # The function must stand in a step of its own, with a plain column as argument: Spark cannot lift it out of an expression
+    # with lambdas. The generator keeps its argument's lambdas below, and being nondeterministic keeps it out of those above.
+    held = df.select("*", F.explode(F.array(pairs.cast(PAIRS))).alias("_pairs"))
+    return held.select(*df.columns, _ratios.asNondeterministic()(F.col("_pairs")).alias(out))
 
-def with_ratios(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """``df`` with a double column for each named pair of keys; equal keys need no comparison and are 1.
 
-    The distinct unequal pairs of all names are compared once and joined back by the pair.
-    """
-    keyed = df.select("*", *(F.struct(F.coalesce(a, F.lit("")).alias("l"), F.coalesce(b, F.lit("")).alias("r")).alias(f"_{n}") for n, (a, b) in pairs.items()))
-    unequal = keyed.select(F.explode(F.array(*(F.col(f"_{n}") for n in pairs))).alias("p")).where("p.l <> p.r").distinct()
-    ratios = unequal.select("p", text_ratio(F.col("p.l"), F.col("p.r")).alias("ratio"))
-    for n in pairs:
-        found = ratios.select(F.col("p").alias(f"_p_{n}"), F.col("ratio").alias(n))
-        keyed = keyed.join(found, F.col(f"_{n}") == F.col(f"_p_{n}"), "left").withColumn(n, F.when(F.col(f"_{n}.l") == F.col(f"_{n}.r"), 1.0).otherwise(F.col(n))).drop(f"_p_{n}")
-    return keyed.drop(*(f"_{n}" for n in pairs))
+def pair(left: Column, right: Column) -> Column:
+    return F.struct(F.coalesce(left, F.lit("")).alias("l"), F.coalesce(right, F.lit("")).alias("r"))
+
+
+def with_ratios(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """``df`` with a double column for each named pair of keys."""
+    held = with_text_ratios(df, F.array(*(pair(a, b) for a, b in pairs.values())), "_ratios")
+    return held.select(*df.columns, *(F.col("_ratios")[i].alias(n) for i, n in enumerate(pairs)))
