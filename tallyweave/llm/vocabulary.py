@@ -39,6 +39,8 @@ class Vocabulary:
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.lookahead = sufficient_lookahead(self.merges, self.suffix)
         symbols = byte_symbols()
+        #: ids as decimal texts
+        self.names = {i: str(i) for i in self.tokens}
         #: ids of a byte inside and at the end of a pre-token
         self.inner = [self.ids[s] for s in symbols]
         self.final = [self.ids[s + self.suffix] for s in symbols]
