@@ -17,9 +17,9 @@ RATIO = 0.1
 #: A line on fewer pages of its host than this is never boilerplate.
 MIN_PAGES = 5
 
-#: Tags that end a line of a page.
-_BREAKS = r"(?i)<br[^<>]*>|</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|html|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:\s[^<>]*)?>"
-_HIDDEN = r"(?is)<!--.*?-->|<script[\s>].*?</script>|<style[\s>].*?</style>"
+#: Tags that end a line of a page, and what of it is not shown.
+BREAKS = r"(?i)<br[^<>]*>|</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|html|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:\s[^<>]*)?>"
+HIDDEN = r"(?is)<!--.*?-->|<script[\s>].*?</script>|<style[\s>].*?</style>"
 
 
 def host_of(url: Column) -> Column:
@@ -30,7 +30,7 @@ def host_of(url: Column) -> Column:
 
 def visible_lines(html: Column) -> Column:
     """The text of a page with a line for each block: comments, scripts, styles and tags removed."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), _BREAKS, "\n"), "<[^<>]*>", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BREAKS, "\n"), "<[^<>]*>", "")
     lines = F.transform(F.split(bare, "\n"), lambda x: F.regexp_replace(F.btrim(x, F.lit(SPACE_CHARS)), f"[{SPACE}]+", " "))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 

@@ -78,4 +78,58 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_substring_dedup, op3_secrets, op4_perspectives, op5_bpe, op6_quality_rules, op7_mixing, op8_token_counts, op9_line_dedup, op10_simhash, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """Places of matches from the lengths of the matches and of what stands between them."""
+    found = []
+    for place, r in enumerate(secrets.RULES):
+        pattern = "'" + r.java.replace("'", "''") + "'"
+        found.append(f"SELECT doc_id, {place} AS place, '{r.kind}' AS kind, regexp_extract_all(t, {pattern}, 0) AS w, string_split_regex(t, {pattern}) AS g, regexp_extract_all(t, {pattern}, {r.group}) AS m, {r.least} AS least FROM d")
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(found)}), i AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f),
+s AS (SELECT doc_id, place, kind, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(w[i]) AS n FROM i WHERE length(m[i]) >= least),
+x AS (SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, place) FILTER (kind IN ({base})), '')) AS base_sha256, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, place) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (doc_id)"""
+
+
+_WS = r"[ \t-\r]"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_secrets": _secrets_sql(),
+    "op4_perspectives": rf"""
+WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE regexp_replace(trim(role), '{_WS}+', '_', 'g') END AS speaker, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS as_role FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+g AS (SELECT *, '<|im_start|>' || as_role || CASE WHEN as_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+q AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM g),
+p AS (SELECT *, row_number() OVER w - 1 AS position, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment_start FROM q WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text))
+SELECT conv_id, perspective, position, turn, speaker, as_role, segment, segment_start, CASE WHEN as_role = 'assistant' THEN segment_start + length(head) END AS mask_start, CASE WHEN as_role = 'assistant' THEN segment_start + length(segment) END AS mask_end FROM p""",
+    "op7_mixing": rf"""
+WITH d0 AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size FROM documents),
+d AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size) AS digest FROM d0),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n, sum(source_size) OVER () AS total FROM s0),
+s2 AS (SELECT *, CAST(n % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM s1),
+s3 AS (SELECT *, CAST(total AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining, sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s2),
+lv AS (SELECT arg_min(remaining, cap / weight) AS remaining, arg_min(weights, cap / weight) AS weights FROM s3 WHERE remaining * weight / weights <= cap),
+s AS (SELECT s2.*, least(coalesce(lv.remaining * weight / lv.weights, cap), cap) AS target FROM s2, lv),
+tt AS (SELECT sum(target) AS whole FROM s),
+iv AS (SELECT n, source_size, CAST(ceil(sum(target) OVER (ORDER BY n) / whole * 4294967296.0) AS BIGINT) AS high FROM s, tt),
+bounds AS (SELECT *, coalesce(lag(high) OVER (ORDER BY n), 0) AS low FROM iv),
+points AS (SELECT i AS slot, (((((i >> 16) * {mixing.GOLDEN}) & 65535) << 16) + (i & 65535) * {mixing.GOLDEN}) & 4294967295 AS point FROM (SELECT unnest(range(CAST(ceil(whole / {mixing.BLOCK_WORDS}) AS BIGINT))) AS i FROM tt)),
+ranked AS (SELECT n, source_size, row_number() OVER (PARTITION BY n ORDER BY slot) - 1 AS r, CAST(ceil(source_size / {mixing.BLOCK_WORDS}) AS BIGINT) AS blocks FROM points JOIN bounds ON point >= low AND point < high),
+times AS (SELECT n, r % blocks AS block, count(*) AS times FROM ranked WHERE r // blocks < 3 GROUP BY ALL),
+laid AS (SELECT doc_id, size, n, s.source_size, target, CAST(coalesce(sum(size) OVER (PARTITION BY n ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size > 0),
+pieces AS (SELECT *, unnest(range(start // {mixing.BLOCK_WORDS}, (start + size - 1) // {mixing.BLOCK_WORDS} + 1)) AS block FROM laid)
+SELECT doc_id, size, p.source_size, target, CAST(sum((least((p.block + 1) * {mixing.BLOCK_WORDS}, start + size) - greatest(p.block * {mixing.BLOCK_WORDS}, start)) * coalesce(times, 0)) AS BIGINT) AS taken FROM pieces p LEFT JOIN times t ON p.n = t.n AND p.block = t.block GROUP BY doc_id, size, p.source_size, target, start, p.n
+UNION ALL SELECT doc_id, size, s.source_size, target, 0 FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size = 0""",
+    "op9_line_dedup": rf"""
+WITH h AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+ list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '{linededup.HIDDEN}', '', 'g'), '{linededup.BREAKS}', chr(10), 'g'), '<[^<>]*>', '', 'g'), chr(10)), lambda x: regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_WS}+', ' ', 'g')), lambda x: x <> '') AS lines FROM pages),
+u AS (SELECT DISTINCT host, lines FROM h), tot AS (SELECT host, count(*) AS p FROM u GROUP BY host), l AS (SELECT host, unnest(list_distinct(lines)) AS line FROM u),
+n AS (SELECT host, line, count(*) AS n FROM l GROUP BY ALL), c AS (SELECT n.host, list(line) AS gone FROM n JOIN tot ON n.host IS NOT DISTINCT FROM tot.host WHERE n >= {linededup.MIN_PAGES} AND n > {linededup.RATIO} * p GROUP BY n.host)
+SELECT page_id, h.host, array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)), chr(10)) AS text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(list_filter(lines, lambda x: list_contains(coalesce(gone, []), x))) AS BIGINT) AS n_dropped FROM h LEFT JOIN c ON h.host IS NOT DISTINCT FROM c.host""",
+}
