@@ -181,8 +181,7 @@ def needs_review(sources: DataFrame, decisions: DataFrame, baseline: DataFrame |
     if baseline is not None:
         met = met.join(baseline, "source_fingerprint", "left")
         open_ = open_ | F.coalesce(F.col("_id") == F.col("baseline_id"), F.lit(False))
-        met = met.drop("baseline_id")
-    return met.withColumn("needs_review", open_).withColumn("head_type", F.col("_t")).drop("_id", "_t", "_h", "_r")
+    return met.withColumn("needs_review", open_).withColumn("head_type", F.col("_t")).drop("_id", "_t", "_h", "_r", "baseline_id")
 
 
 def replaced_invalidations(invalid: DataFrame, plan_items: DataFrame, apply_runs: DataFrame, apply_items: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ _ISSUE = f"struct<id: string, resource_type: string, api_detail_url: string, nam
 _VOLUME = "struct<id: string, volumeInfo: struct<title: string, subtitle: string, authors: array<string>, publisher: string, publishedDate: string, language: string, industryIdentifiers: array<struct<type: string, identifier: string>>>>"
 _EDITION = "struct<key: string, title: string, subtitle: string, isbn: array<string>, publisher: array<string>, publish_date: array<string>, language: array<string>>"
 _WORK = f"struct<key: string, title: string, subtitle: string, author_name: array<string>, first_publish_date: string, first_publish_year: string, isbn: array<string>, publisher: array<string>, language: array<string>, editions: struct<docs: array<{_EDITION}>>>"
-_SINGLE = "struct<key: string, title: string, subtitle: string, first_publish_date: string, publishers: array<string>, publish_date: string, isbn_10: array<string>, isbn_13: array<string>, languages: array<struct<key: string>>, works: array<struct<key: string>>>"
+_SINGLE = "key string, title string, subtitle string, first_publish_date string, publishers array<string>, publish_date string, isbn_10 array<string>, isbn_13 array<string>, languages array<struct<key: string>>, works array<struct<key: string>>"
 
 
 def _parsed(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +60,6 @@ def cover_month(date: Column) -> tuple[Column, Column]:
 
 def normalize_comic_feed(df: DataFrame, column: str = "payload", provider: str = "comic", version: int = 1) -> tuple[DataFrame, DataFrame]:
     """(candidates, quarantined payloads) of a comic feed; ``results`` is a list or a single object."""
-    listed, _ = _parsed(df, column, f"results array<{_ISSUE}>")
     known = F.get_json_object(column, "$.results").isNotNull()
     single = F.from_json(F.get_json_object(column, "$.results"), _ISSUE)
     many = F.from_json(F.get_json_object(column, "$.results"), f"array<{_ISSUE}>")
@@ -137,7 +136,7 @@ def normalize_work_feed(df: DataFrame, column: str = "payload", provider: str =
 
 def normalize_edition_feed(df: DataFrame, column: str = "payload", provider: str = "work", version: int = 1) -> tuple[DataFrame, DataFrame]:
     """(candidates, quarantine) of single work and edition documents; an edition's key ends in M."""
-    good, bad = _parsed(df, column, _SINGLE.removeprefix("struct<").removesuffix(">"))
+    good, bad = _parsed(df, column, _SINGLE)
     key = F.btrim(F.coalesce("_j.key", F.lit("")), F.lit("/"))
     lacking = (key == "") | F.col("_j.title").isNull()
     rows = good.where(~lacking)
