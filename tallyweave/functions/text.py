@@ -108,7 +108,7 @@ VOLUME = r"\b(book|volume|vol\.?)\s*[-:#]?\s*(\d+(?:\.\d+)?|" + "|".join(sorted(
 
 def spelled_number(c: Column) -> Column:
     """A number word or Roman numeral up to twenty as digits, digits without leading and decimal trailing zeros; else null."""
-    words = F.create_map(*(F.lit(x) for names in (NUMBER_WORDS, ROMAN) for n, w in enumerate(names, 1) for x in (w, str(n))))
+    words = F.expr("map(" + ", ".join(f"'{w}', '{n}'" for names in (NUMBER_WORDS, ROMAN) for n, w in enumerate(names, 1)) + ")")
     digits = F.regexp_replace(F.regexp_replace(c, r"^0+(?=\d)", ""), r"(\.\d+?)0+$", "$1")
     return F.coalesce(F.try_element_at(words, F.lower(c)), F.when(c.rlike(r"^\d+(?:\.\d+)?$"), digits))
 

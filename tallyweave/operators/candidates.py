@@ -18,35 +18,61 @@ from tallyweave.functions.sequence import sequence_struct
 
 COLLECTED = "collected-edition"
 
+# ---- local identities
+
+
+def local_identity(classified: DataFrame, key: str = "source_id", publisher: str | None = None, language: str | None = None, writer: str | None = None, identifiers: str | None = None, gtin: str | None = None) -> DataFrame:
+    """Local records of classified sources (``names.classify``): the best hypothesis with embedded metadata where it lacks some.
+
+    The named columns hold embedded values: of comics the writer gives missing creators, 10 or 13 digits among ``identifiers``
+    (an array) are ISBN, ``gtin`` is one of its own.
+    """
+    h = F.col("classification.hypotheses")[0]
+    none = F.lit(None).cast("string")
+    text = lambda c: t.filled(F.trim(F.col(c))) if c else none
+    comic = h["kind"] == "comic"
+    creators = F.when(comic & (F.size(h["creators"]) == 0), t.split_names(text(writer))).otherwise(h["creators"])
+    digits = F.transform(F.coalesce(F.col(identifiers), t.no_texts()) if identifiers else t.no_texts(), lambda x: F.upper(F.regexp_replace(x, "[^0-9Xx]", "")))
+    isbn = F.transform(F.filter(digits, lambda x: F.length(x).isin(10, 13)), lambda x: F.struct(F.lit("isbn").alias("scheme"), x.alias("value")))
+    gtins = F.filter(F.array(F.struct(F.lit("gtin").alias("scheme"), text(gtin).alias("value"))), lambda x: x["value"].isNotNull())
+    title = F.when(comic, F.coalesce(h["title"], F.lit(""))).otherwise(F.coalesce(t.first_filled(h["title"], h["series"]), F.lit("")))
+    return classified.select(
+        F.col(key).alias("source_id"), h["kind"].alias("kind"), h["subtype"].alias("subtype"), h["confidence"].alias("classification_confidence"), title.alias("title"), creators.alias("creators"), F.concat(isbn, gtins).alias("identifiers"), h["series"].alias("series_title"), h["sequence"].alias("sequence"), h["year"].alias("year"),
+        F.lit(None).cast("int").alias("run_start_year"), text(publisher).alias("publisher"), text(language).alias("language"), h["edition_qualifiers"].alias("edition_qualifiers"),
+    )
+
+
 # ---- query ladder
 
 
 def collection_ladder(local: DataFrame) -> DataFrame:
     """(source_id, ordinal, label, title, creators): title variants of each collected edition, in order, each once per title and creators."""
-    series, title = F.trim(F.coalesce("series_title", F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
-    number = F.col("sequence.normalized")
-    integer = number.rlike(r"^\d+$")
-    creator = F.get("creators", F.lit(0))
     both, none = F.coalesce(F.col("creators"), t.no_texts()), t.no_texts()
+    chosen = local.where((F.col("kind") == "comic") & (F.col("subtype") == COLLECTED))
+    base = chosen.select("source_id", F.trim(F.coalesce("series_title", F.lit(""))).alias("series"), F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.col("sequence.normalized").alias("number"), both.alias("names"), F.coalesce("edition_qualifiers", none).alias("qualifiers"))
+    series, title, number, creator = F.col("series"), F.col("title"), F.col("number"), F.get("names", F.lit(0))
+    within = F.startswith(F.lower(title), F.lower(series))
     tidy = lambda c: F.btrim(F.regexp_replace(c, r"(?U)\s+", " "), F.lit(" ,:-"))
-    structured = F.when((series != "") & (title != "") & ~F.startswith(F.lower(title), F.lower(series)), F.concat_ws(" ", series, title)).otherwise(F.when(title != "", title).otherwise(series))
-    volume = (series != "") & integer & title.rlike(r"(?Ui)\b(?:volume|vol\.?)\b")
+    structured = F.when((series != "") & (title != "") & ~within, F.concat_ws(" ", series, title)).otherwise(F.when(title != "", title).otherwise(series))
+    volume = (series != "") & number.rlike(r"^\d+$") & title.rlike(r"(?Ui)\b(?:volume|vol\.?)\b")
+    rest = F.when(within, F.btrim(F.substring(title, F.length(series) + 1, F.length(title)), F.lit(" :-"))).otherwise(title)
+    inline = F.when((series != "") & creator.isNotNull(), F.concat_ws(" ", series, F.concat(F.lit("by "), creator), t.filled(rest)))
+    words = F.create_map(*(F.lit(x) for n, w in enumerate(t.NUMBER_WORDS, 1) for x in (str(n), w.title())))
+    base = base.select("*", structured.alias("structured"), volume.alias("volume"), inline.alias("inline"), F.try_element_at(words, number).alias("word"))
+    both, volume, inline = F.col("names"), F.col("volume"), F.col("inline")
     titles = [
-        ("structured", structured),
+        ("structured", F.col("structured")),
         ("vol", F.when(volume, F.concat(series, F.lit(" Vol. "), number))),
         ("vol-comma", F.when(volume, F.concat(series, F.lit(", Vol. "), number))),
-        ("series-only", F.when((series != "") & number.isNull() & (F.size(F.coalesce("edition_qualifiers", none)) > 0), series)),
+        ("series-only", F.when((series != "") & number.isNull() & (F.size("qualifiers") > 0), series)),
     ]
-    rest = F.when(F.startswith(F.lower(title), F.lower(series)), F.btrim(F.substring(title, F.length(series) + 1, F.length(title)), F.lit(" :-"))).otherwise(title)
-    inline = F.when((series != "") & creator.isNotNull(), F.concat_ws(" ", series, F.concat(F.lit("by "), creator), t.filled(rest)))
     dashed = F.regexp_replace(inline, r"(?Ui)\b(Collection)\s+(Book|Volume)\b", "$1 - $2")
-    words = F.create_map(*(F.lit(x) for n, w in enumerate(t.NUMBER_WORDS, 1) for x in (str(n), w.title())))
-    word = F.try_element_at(words, number)
-    spelled = reduce(lambda c, n: F.when(number == str(n), F.regexp_replace(inline, rf"(?Ui)\b(Book|Volume|Vol\.?)\s*0*{n}\b", f"$1 {t.NUMBER_WORDS[n - 1].title()}")).otherwise(c), range(1, len(t.NUMBER_WORDS) + 1), F.lit(None).cast("string"))
+    word = F.col("word")
+    spelled = F.regexp_replace(inline, F.concat(F.lit(r"(?Ui)\b(Book|Volume|Vol\.?)\s*0*"), number, F.lit(r"\b")), F.concat(F.lit("$1 "), word))
     row = lambda label, value, names: F.struct(F.lit(label).alias("label"), tidy(value).alias("title"), names.alias("creators"))
     rows = [x for label, value in titles for x in (row(label, value, both), F.when(F.size(both) > 0, row(f"{label}-title-only", value, none)))]
     rows += [row("creator-inline", inline, both), row("creator-inline-dashed", dashed, both), F.when(word.isNotNull(), row("creator-inline-word-number", spelled, both))]
-    listed = local.where((F.col("kind") == "comic") & (F.col("subtype") == COLLECTED)).select("source_id", F.posexplode(F.array(*rows)).alias("ordinal", "q"))
+    listed = base.select("source_id", F.posexplode(F.array(*rows)).alias("ordinal", "q"))
     listed = listed.select("source_id", "ordinal", "q.*").where(F.coalesce(F.col("title"), F.lit("")) != "")
     return first_wins(listed, ["source_id", F.lower("title"), "creators"], "ordinal")
 

@@ -119,3 +119,12 @@ def test_adaptation_and_rejection(spark):
     assert reasons == {"k1": None, "k2": "issue_shaped_book", "k3": "collection_sequence_conflict", "k4": "collection_sequence_missing"}
     c = candidates.adapt_collections(rows).first().c
     assert (c.record_type, c.sequence.normalized, [x.role for x in c.creators], c.provider_metadata["collection_organization_contributors"], c.provider_metadata["collection_sequence_source"]) == ("comic_collection", "2", ["writer"], "Big Press", "provider_title")
+
+
+def test_local_identity(spark):
+    from tallyweave.functions import names
+
+    df = spark.createDataFrame([("s", "C/Saga #002 (2013).cbz", "cbz", "Ann, Bob", ["978-0140268867", "x"], "77")], "source_id string, path string, format string, writer string, ids array<string>, gtin string")
+    rows = names.classify(names.parse_book_names(names.parse_comic_names(df)))
+    r = candidates.local_identity(rows, writer="writer", identifiers="ids", gtin="gtin").first()
+    assert (r.kind, r.subtype, r.series_title, r.sequence.normalized, r.creators, [tuple(i) for i in r.identifiers]) == ("comic", "issue", "Saga", "2", ["Ann", "Bob"], [("isbn", "9780140268867"), ("gtin", "77")])
