@@ -156,20 +156,22 @@ def block_sizes(ladder: DataFrame, candidates: DataFrame, at_least: int = 1000)
 def relaxed_pairs(ladder: DataFrame, candidates: DataFrame, found: DataFrame, routes: DataFrame | None = None, min_shared: float = 0.5) -> DataFrame:
     """Pairs by shared title words, for sources and feeds that have no pair in ``found``.
 
-    A candidate is kept if it has at least ``min_shared`` of the words of the relaxed title. Words on more than one in ten titles of a
-    feed carry no block of their own but still count.
+    A candidate is kept if it has at least ``min_shared`` of the ``n`` words of the relaxed title. Such a candidate must have one of any
+    ``n - needed + 1`` of them, so only that many, the rarest in the catalogue, make pairs: exact, and common words hardly ever do.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(t.title_key(c), " "), lambda w: w != ""))
-    asked = ladder.where("label = 'relaxed'").select("source_id", words(F.col("title")).alias("ours"))
+    asked = ladder.where("label = 'relaxed'").select("source_id", words(F.col("title")).alias("ours")).where("size(ours) > 0")
     theirs = candidates.select("candidate_key", "provider", words(F.concat_ws(" ", "title", "series_title")).alias("theirs"))
     per_word = theirs.select("candidate_key", "provider", F.explode("theirs").alias("w"))
-    common = per_word.groupBy("w").agg(F.count("*").alias("n")).join(F.broadcast(theirs.agg(F.count("*").alias("all")))).where("n > 10 and n > 0.1 * all").select("w")
-    rare = per_word.join(common, "w", "left_anti")
-    made = asked.select("source_id", F.explode("ours").alias("w")).join(rare, "w").select("source_id", "candidate_key", "provider").distinct()
+    frequency = per_word.groupBy("w").agg(F.count("*").alias("f"))
+    needed = F.greatest(F.ceil(F.size("ours") * F.lit(min_shared)), F.lit(1))
+    ranked = asked.select("source_id", "ours", F.explode("ours").alias("w")).join(frequency, "w", "left").groupBy("source_id", "ours").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("r"))
+    rare = ranked.select("source_id", F.explode(F.slice("r", F.lit(1), (F.size("ours") - needed + 1).cast("int"))).alias("x")).select("source_id", "x.w")
+    made = rare.join(per_word, "w").select("source_id", "candidate_key", "provider").distinct()
     missing = made.join(found.select("source_id", "provider").distinct(), ["source_id", "provider"], "left_anti")
     if routes is not None:
         missing = missing.join(routes.where("outcome = 'search'").select("source_id", "provider"), ["source_id", "provider"], "left_semi")
-    scored = missing.join(asked, "source_id").join(theirs.drop("provider"), "candidate_key").where(F.size(F.array_intersect("ours", "theirs")) >= min_shared * F.size("ours"))
+    scored = missing.join(asked, "source_id").join(theirs.drop("provider"), "candidate_key").where(F.size(F.array_intersect("ours", "theirs")) >= needed)
     return scored.select("source_id", "candidate_key", "provider", F.lit("relaxed").alias("strategy"))
 
 

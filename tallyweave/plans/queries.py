@@ -502,3 +502,135 @@ def reviewed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.reviewed_count(b.event_decisions(spark, sf_dir))
 
 
+
+
+# ---- further operators
+
+
+def _orders_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items of an applied plan per customer: state by status, hashes by key, paths by key."""
+    o, k = b.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(
+        F.col("o_custkey").cast("string").alias("run_id"), k.cast("string").alias("item_id"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "committing").otherwise("failed").alias("state"), F.concat(F.lit("/s/"), k).alias("source_path"), F.concat(F.lit("h"), k).alias("planned_source_hash"),
+        F.lit(None).cast("string").alias("staging_path"), F.lit(None).cast("string").alias("staged_hash"), F.concat(F.lit("/d/"), k).alias("destination_path"), F.concat(F.lit("d"), k).alias("destination_hash"), F.when(k % 3 == 0, "preserve").when(k % 3 == 1, "archive_after_verify").otherwise("move_after_verify").alias("lifecycle_policy"), F.concat(F.lit("/a/"), k).alias("archive_path"), F.col("o_orderdate").alias("completed_at"),
+    )
+
+
+def _orders_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is there: sources of every second order, destinations but every fifth, changed every seventh, archives of every fourth."""
+    k = F.col("o_orderkey")
+    rows = F.array(
+        F.when(k % 2 == 0, F.struct(F.concat(F.lit("/s/"), k).alias("path"), F.concat(F.lit("h"), k).alias("sha256"))),
+        F.when(k % 5 != 0, F.struct(F.concat(F.lit("/d/"), k).alias("path"), F.when(k % 7 == 0, "other").otherwise(F.concat(F.lit("d"), k)).alias("sha256"))),
+        F.when(k % 4 == 3, F.struct(F.concat(F.lit("/a/"), k).alias("path"), F.concat(F.lit("h"), k).alias("sha256"))),
+    )
+    return b.table(spark, sf_dir, "orders").select(F.explode(F.array_compact(rows)).alias("x")).select("x.*")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS item_id, CASE WHEN o_orderstatus <> 'F' THEN 'none' WHEN k % 5 = 0 THEN 'manual' WHEN k % 7 = 0 THEN 'refuse' WHEN k % 3 = 0 AND k % 2 = 0 THEN 'remove_unchanged_destination' WHEN k % 3 = 1 AND k % 2 = 0 THEN 'remove_unchanged_destination' WHEN k % 3 = 1 AND k % 4 = 3 THEN 'restore_archive_then_remove_destination' WHEN k % 3 = 2 AND k % 2 = 1 THEN 'impossible' ELSE 'manual' END AS action FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def rollback_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.rollback_preview(_orders_as_items(spark, sf_dir), _orders_inventory(spark, sf_dir)).select("item_id", "action")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS item_id, o_orderstatus = 'O' AND k % 5 <> 0 AND k % 7 = 0 AS manual, k % 2 = 0 AS source_exists FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def recovery_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.recovery_inspection(_orders_as_items(spark, sf_dir), _orders_inventory(spark, sf_dir)).select("item_id", "manual", "source_exists")
+
+
+@query("""SELECT '/s/' || o_orderkey AS path, CASE WHEN o_orderstatus <> 'F' THEN 'current' WHEN k % 5 = 0 THEN 'destination_missing' WHEN k % 7 = 0 THEN 'destination_mismatch' ELSE 'completed' END AS status FROM (SELECT *, o_orderkey AS k FROM orders)""")
+def completed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _orders_as_items(spark, sf_dir)
+    runs = items.select(F.col("run_id").alias("id")).distinct().withColumn("status", F.lit("complete"))
+    scan = items.select(F.col("source_path").alias("path"), F.col("planned_source_hash").alias("sha256"))
+    return plan.completed_sources(scan, items, runs, _orders_inventory(spark, sf_dir)).select("path", "status")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'stale' ELSE 'same' END AS source_state FROM orders""")
+def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = b.table(spark, sf_dir, "orders").select("o_orderkey", k.cast("string").alias("path"), k.cast("string").alias("sha256"), F.lit(1).alias("size"), F.lit("cbz").alias("format"), F.lit("zip").alias("signature"))
+    now = rows.where(k % 5 != 0).withColumn("size", F.when(k % 7 == 0, 2).otherwise(1))
+    return plan.stale_sources(rows, now).select("o_orderkey", "source_state")
+
+
+@query("""SELECT CAST(o_custkey AS BIGINT) AS plan_id, CAST(o_custkey AS VARCHAR) AS run_id, count(*) FILTER (o_orderstatus = 'O') = 0 AND o_custkey % 3 <> 0 AS abandonable, count(*) FILTER (o_orderstatus = 'O') AS unsafe FROM orders GROUP BY o_custkey""")
+def abandonable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _orders_as_items(spark, sf_dir)
+    runs = items.groupBy(F.col("run_id").alias("id")).agg(F.min("completed_at").alias("started_at")).select("id", F.col("id").cast("bigint").alias("plan_id"), F.lit("x").alias("plan_digest"), F.when(F.col("id").cast("bigint") % 3 == 0, "complete").otherwise("failed").alias("status"), "started_at")
+    plans = runs.select(F.col("plan_id").alias("id"), F.lit("x").alias("sha256"))
+    return report.abandonable(runs, items, plans).select("plan_id", "run_id", "abandonable", F.size("unsafe").cast("bigint").alias("unsafe"))
+
+
+@query("""SELECT count(*) AS sources, count(*) FILTER (c_nationkey % 3 > 0) AS candidate_found, count(*) FILTER (c_nationkey % 3 = 0) AS no_candidate, count(*) FILTER (c_nationkey % 3 > 0 AND c_acctbal > 5000) AS eligible_high_confidence, count(*) FILTER (c_nationkey % 3 > 0 AND c_acctbal <= 5000) AS review_required, count(*) FILTER (c_mktsegment = 'MACHINERY') AS collected_editions FROM customer""")
+def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("c_nationkey") % 3 > 0
+    items = b.table(spark, sf_dir, "customer").select(found.alias("has_candidate"), (found & (F.col("c_acctbal") > 5000)).alias("eligible"), F.lit(False).alias("hard_contradiction"), F.array().cast("array<string>").alias("contradictions"), F.lit(1).alias("available"), F.lit(0).alias("unavailable"), F.lit(None).cast("string").alias("work_state"), F.lit(None).cast("string").alias("edition_state"), F.when(F.col("c_mktsegment") == "MACHINERY", "collected-edition").otherwise("issue").alias("subtype"))
+    return report.match_summary(items).select("sources", "candidate_found", "no_candidate", "eligible_high_confidence", "review_required", "collected_editions")
+
+
+@query("""SELECT o_custkey AS plan_id, count(*) AS items, count(*) FILTER (o_orderkey % 4 = 0) AS conversions, count(*) FILTER (o_orderkey % 3 > 0) AS writes, CAST(sum(greatest(67108864, CAST(floor(1.25 * o_orderkey * CASE WHEN o_orderkey % 4 = 0 THEN 4000 ELSE 2000 END) AS BIGINT))) AS BIGINT) AS bytes FROM orders GROUP BY o_custkey""")
+def apply_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    items = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), F.lit("/l").alias("root"), F.when(k % 4 == 0, "cbr").otherwise("cbz").alias("format"), (k * 1000).alias("size"), F.lit(0).cast("bigint").alias("inventory_size"), (k % 3).alias("set_fields"), F.lit(0).alias("conflicts"), F.col("o_orderpriority").alias("lifecycle_policy"))
+    return report.apply_preview(items).select("plan_id", "items", "conversions", "writes", "bytes")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'unsafe permission modes' WHEN o_orderkey % 6 = 1 THEN 'unsupported source signature' WHEN o_orderkey % 6 = 2 THEN 'every projected item requires an explicit approval' WHEN o_orderkey % 6 = 3 THEN 'unsupported schema version' ELSE '' END AS reasons FROM orders""")
+def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, text_of = F.col("o_orderkey"), lambda *x: F.concat(*(v if not isinstance(v, str) else F.lit(v) for v in x))
+    m = k % 6
+    doc = text_of('{"schema_version":', F.when(m == 3, "9").otherwise("3"), ',"planning_policy":{"version":"2"},"permissions":{"file_mode":"', F.when(m == 0, "0666").otherwise("0644"), '","directory_mode":"0755"},"items":[{"item_id":"', k.cast("string"), '","source":{"path":"/x","signature":"', F.when(m == 1, "exe").otherwise("zip"), '"},"projection":{"destination":"d"},"provenance":{"explicit_approval":', F.when(m == 2, "false").otherwise("true"), '},"planning_policy":{"version":"2"}}]}')
+    plans = b.table(spark, sf_dir, "orders").select(k.alias("id"), doc.alias("canonical_json")).withColumn("sha256", F.sha2("canonical_json", 256))
+    return plan.validate_plans(plans).select("id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'comic item type is unresolved' WHEN 1 THEN 'comic issue sequence is unresolved' WHEN 2 THEN 'book author/work creator is unresolved' ELSE '' END AS blocks FROM part""")
+def planning_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("p_partkey") % 4
+    rows = b.table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(m >= 2, "book").otherwise("comic").alias("media_kind"), F.col("p_name").alias("title"), F.when(m == 2, F.array().cast("array<string>")).otherwise(F.array("p_brand")).alias("creators"), F.col("p_name").alias("series_title"), F.when(m == 1, "issue").alias("item_type"), F.lit(2000).alias("run_start_year"), sequence_struct(F.lit(None).cast("string")).alias("sequence"),
+    )
+    return rows.select("p_partkey", F.array_join(golden.planning_blocks(), "; ").alias("blocks"))
+
+
+@query("""SELECT 'work:' || p_partkey || ':book_work' AS candidate_key, CASE WHEN p_partkey % 3 = 0 THEN 'not_found' WHEN p_partkey % 3 = 1 THEN 'hydrated' ELSE 'conflict' END AS status, CASE WHEN p_partkey % 3 = 1 THEN p_type END AS publisher, CASE WHEN p_partkey % 3 = 1 THEN 'publisher' ELSE '' END AS changes FROM part""")
+def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = b.part_candidates(spark, sf_dir)
+    k = F.col("provider_id").cast("bigint") % 3
+    details = found.where(k > 0).withColumn("publisher", F.col("shelf")).withColumn("media_kind", F.when(k == 2, "comic").otherwise("book")).drop("shelf")
+    return golden.hydrate(found.drop("shelf"), details).select("candidate_key", "status", "publisher", F.array_join("changes", ",").alias("changes"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS source_fingerprint, 'T' || id AS title, resolution FROM (SELECT user_id, max(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END) AS id, arg_max(CASE event_type WHEN 'signup' THEN 'complete' ELSE 'work_only' END, CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END) AS resolution, arg_max(event_type, event_id) AS head FROM events GROUP BY user_id) WHERE id IS NOT NULL AND head NOT IN ('error', 'view')""")
+def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = b.event_decisions(spark, sf_dir)
+    payload = F.concat(F.lit('{"candidate":{"provider":"work","provider_id":"1","record_type":"book_edition","media_kind":"book","title":"T'), "id", F.lit('","creators":[{"name":"A","role":"author"}]}}'))
+    d = d.withColumn("payload_json", F.when(F.col("decision_type").isin("accepted", "work_accepted"), payload).otherwise("{}"))
+    sources = d.select(*history.KEY).distinct().withColumn("media_kind", F.lit("book"))
+    kind = spark.createDataFrame([], "candidate_key string, provider string, provider_id string, record_type string, media_kind string, title string, creators array<struct<name: string, role: string>>, identifiers array<struct<scheme: string, value: string>>, publisher string, publication_date string, release_date string, release_date_precision string, cover_date string, cover_date_precision string, language string, series_title string, run_start_year int, sequence struct<raw: string, normalized: string, kind: string, sort_key: struct<k: int, n: bigint, t: string>, width: int>, item_type string, run_id string, provider_metadata map<string, string>").schema.simpleString()
+    return golden.resolve_sources(sources, d, kind).where("eligible").select("source_fingerprint", "title", "resolution")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'issue_shaped_book' WHEN 1 THEN 'collection_sequence_missing' WHEN 2 THEN CASE WHEN p_size = 2 THEN NULL ELSE 'collection_sequence_conflict' END END AS reason FROM part""")
+def collection_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("p_partkey") % 4
+    title = F.when(m == 0, F.concat_ws(" ", "p_name", F.lit("#7"))).when(m == 1, F.col("p_name")).when(m == 2, F.concat(F.col("p_name"), F.lit(", Book Two"))).otherwise(F.concat(F.col("p_name"), F.lit(" Vol. "), "p_size"))
+    rows = b.table(spark, sf_dir, "part").select("p_partkey", F.struct(title.alias("title"), F.lit(None).cast("string").alias("subtitle"), F.lit("book_edition").alias("record_type"), sequence_struct(F.lit(None).cast("string")).alias("sequence")).alias("c"), sequence_struct(F.col("p_size").cast("string"))["normalized"].alias("own"))
+    return rows.select("p_partkey", candidates.rejection_reason(F.col("own")).alias("reason"))
+
+
+@query("""SELECT label, count(*) AS n FROM (SELECT unnest(['structured', 'structured-title-only', 'vol', 'vol-title-only', 'vol-comma', 'vol-comma-title-only', 'creator-inline'] || CASE WHEN p_size <= 20 THEN ['creator-inline-word-number'] ELSE [] END) AS label FROM part) GROUP BY ALL""")
+def query_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local = b.part_locals(spark, sf_dir).drop("shelf").withColumn("kind", F.lit("comic")).withColumn("subtype", F.lit("collected-edition")).withColumn("series_title", F.initcap("title"))
+    size = (F.col("year") - 2000).cast("string")
+    local = local.withColumn("title", F.concat(F.lit("Volume "), size)).withColumn("sequence", sequence_struct(size))
+    return candidates.collection_ladder(local).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS source_id, count(*) OVER (PARTITION BY p_name, p_brand) AS pairs FROM part""")
+def relaxed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.concat_ws(" ", F.col("title"), F.get("creators", F.lit(0)))
+    local = b.part_locals(spark, sf_dir).drop("shelf").withColumn("title", whole)
+    found = b.part_candidates(spark, sf_dir).drop("shelf").withColumn("title", F.concat_ws(" ", F.col("title"), F.get("creators", F.lit(0))["name"]))
+    none = spark.createDataFrame([], "source_id string, provider string")
+    return candidates.relaxed_pairs(candidates.query_ladder(local), found, none, min_shared=1.0).groupBy("source_id").agg(F.count("*").alias("pairs"))
