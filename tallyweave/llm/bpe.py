@@ -58,7 +58,7 @@ def _later_letters() -> set[int]:
 
 
 _SPACE = _spans(_points(_WHITE))
-_LATER = _spans(_later_letters())
+_LATER = _spans(_later_letters() | {0x10FFFF})  # never empty
 #: Pre-tokens of the vocabulary with word ends; what matches none is dropped.
 _WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|\p{{N}}|[[^{_SPACE}\p{{L}}\p{{N}}]||[{_LATER}]]+")
 _MARKS = regex.compile(f"([{_spans(_points(_UNKNOWN_MARKS))}])")

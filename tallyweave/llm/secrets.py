@@ -11,7 +11,6 @@ Texts are named by a 128-bit digest, so that equal texts are looked up once and
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser
