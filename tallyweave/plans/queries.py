@@ -372,13 +372,11 @@ def running_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_M}, x AS (SELECT archive_id, entry_no, 'p' || l_partkey || '_' || entry_no || '.jpg' AS name, l_partkey FROM m), o AS (SELECT * FROM x WHERE l_partkey % 10 <> 3), a AS (SELECT archive_id, CASE WHEN l_partkey % 10 = 4 THEN entry_no + 100 ELSE entry_no END AS entry_no, name, CASE WHEN l_partkey % 10 = 5 THEN 'z' ELSE CAST(l_partkey AS VARCHAR) END AS h FROM x WHERE l_partkey % 10 <> 6)
 SELECT status, count(*) AS n FROM (SELECT CASE WHEN o.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' WHEN CAST(o.l_partkey AS VARCHAR) <> a.h THEN 'changed' WHEN o.entry_no <> a.entry_no THEN 'moved' ELSE 'same' END AS status FROM o FULL JOIN a ON o.archive_id = a.archive_id AND o.name = a.name) GROUP BY ALL""")
 def member_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = b.line_members(spark, sf_dir).drop("path", "is_directory")
     part = b.table(spark, sf_dir, "lineitem")
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = part.select(F.col("l_orderkey").alias("archive_id"), F.row_number().over(order).cast("int").alias("entry_no"), "l_partkey").withColumn("path", F.format_string("P%d_%d.jpg", "l_partkey", "entry_no")).withColumn("sha256", F.col("l_partkey").cast("string")).withColumn("is_directory", F.lit(False))
-    del m
     digit = F.col("l_partkey") % 10
     after = rows.where(digit != 6).withColumn("entry_no", F.when(digit == 4, F.col("entry_no") + 100).otherwise(F.col("entry_no"))).withColumn("sha256", F.when(digit == 5, "z").otherwise(F.col("sha256")))
     return verify.reconcile_members(rows.where(digit != 3), after).groupBy("status").agg(F.count("*").alias("n"))
@@ -398,7 +396,7 @@ def structure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL""")
 def metadata_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = b.table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("row"), "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    li = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     keyed = li.groupBy("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").agg(F.count("*").alias("c"))
     expected = keyed.select("l_orderkey", "l_linenumber", "l_returnflag", "c", F.concat(F.lit("f"), F.col("l_quantity").cast("int"), F.col("l_returnflag")).alias("field"), F.lit("set").alias("op"), F.col("l_quantity").cast("string").alias("value"))
     actual = expected.select("l_orderkey", "l_linenumber", "field", F.when(F.col("l_returnflag") == "R", "other").otherwise(F.col("value")).alias("value"))
