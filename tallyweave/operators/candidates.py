@@ -187,10 +187,15 @@ def tiered_pairs(local: DataFrame, candidates: DataFrame, routes: DataFrame, lad
 
 
 def pairs(local: DataFrame, candidates: DataFrame, blocked: DataFrame) -> DataFrame:
-    """(source_id, candidate_key, strategy, l, c): blocked pairs with both records as structs."""
+    """(source_id, candidate_key, strategy, l, c): blocked pairs with both records as structs.
+
+    Dealt by source, in as many partitions as the session shuffles into: scoring is heavy for its bytes, so partitions must not be
+    merged by size, and ranking per source then needs no further shuffle.
+    """
     left = local.select("source_id", F.struct(*local.columns).alias("l"))
     right = candidates.select("candidate_key", F.struct(*candidates.columns).alias("c"))
-    return blocked.select("source_id", "candidate_key", "strategy").join(left, "source_id").join(right, "candidate_key")
+    met = blocked.select("source_id", "candidate_key", "strategy").join(left, "source_id").join(right, "candidate_key")
+    return met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
 
 
 def identity_filter(rows: DataFrame) -> DataFrame:
