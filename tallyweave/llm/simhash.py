@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import free_name, written
+from tallyweave.llm.shared import SPACE_CHARS, free_name, written
 
 #: Hash seed of the shingles.
 SEED = 42
@@ -44,28 +44,25 @@ SHIFTED = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """What links: ``block`` fingerprints within ``radius`` bits and, with ``check_radius``, also the 128 bits of
-    ``node`` and ``check`` within that many. ``segments`` sets how finely buckets are cut: more segments mean
-    more rows and smaller buckets."""
+    """What links: ``block`` fingerprints within ``radius`` bits. ``segments`` sets how finely buckets are cut: more
+    segments mean more rows and smaller buckets."""
 
     radius: int
     segments: int
-    check_radius: int | None = None
 
     def __post_init__(self):
         if self.segments <= self.radius:
             raise ValueError("segments must exceed radius")
 
-    @property
-    def columns(self) -> tuple[str, ...]:
-        return ("block",) if self.check_radius is None else ("node", "check", "block")
-
 
 #: One fingerprint, four bits.
 CONTRACT = Rule(radius=4, segments=6)
-#: A Jaccard similarity of 0.8 or more on five-word shingles: 128 SimHash bits then differ in 19 on average, with
-#: a deviation of 4, unrelated texts in 64 with a deviation of 6.
-SIMILAR = Rule(radius=8, segments=10, check_radius=26)
+#: Least Jaccard similarity of the distinct five-word shingles of near copies, as (numerator, denominator).
+SIMILAR = (4, 5)
+SIMILAR_WORDS = 5
+#: Texts, about, whose shingles are counted to find the common ones, and the count from which one is common.
+SAMPLE_TEXTS = 20_000
+COMMON = 3
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
@@ -106,25 +103,6 @@ def fingerprints(df: DataFrame, text: str = "text", shingle_words: int = 4, out:
     return df.withColumn(out, of(F.col(f"`{text}`")))
 
 
-def checked_fingerprints(df: DataFrame, text: str = "text", out: str = "fps") -> DataFrame:
-    """``df`` with a struct column ``out`` of three SimHashes over *distinct* shingles, in one pass.
-
-    ``node`` and ``check`` are 64 bits each over five-word shingles (independent bits); ``block`` is over pairs
-    of words, which few edits change less, so that it proposes what the other two then verify.
-    """
-
-    @F.pandas_udf("node long, check long, block long")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        got = np.zeros((len(texts), 3), np.uint64)
-        for i, t in enumerate(texts):
-            five, two = np.unique(shingle_hashes(t, 5)), np.unique(shingle_hashes(t, 2))
-            mixed = (five ^ (five >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            got[i] = simhash(five), simhash(mixed ^ (mixed >> np.uint64(32))), simhash(two)
-        return pd.DataFrame(got.view(np.int64), columns=["node", "check", "block"])
-
-    return df.withColumn(out, of(F.col(f"`{text}`")))
-
-
 def _segments(n: int) -> list[tuple[int, int]]:
     """(first bit, width) of ``n`` segments of 64 bits."""
     cuts = [64 * i // n for i in range(n + 1)]
@@ -160,9 +138,6 @@ def _verified(fps: dict[str, np.ndarray], table: np.ndarray, a: np.ndarray, b: n
     x = fps["block"]
     close = np.bitwise_count(x[a] ^ x[b]) <= rule.radius
     a, b = a[close], b[close]
-    if rule.check_radius is not None:
-        apart = sum(np.bitwise_count(fps[k][a] ^ fps[k][b]).astype(np.int16) for k in ("node", "check"))
-        a, b = a[apart <= rule.check_radius], b[apart <= rule.check_radius]
     return a, b
 
 
@@ -233,11 +208,10 @@ def _links_of_batch(fps: dict[str, np.ndarray], sizes: np.ndarray, rule: Rule, p
 def linked_pairs(distinct: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b), a < b, between nodes, that connect what the rule links.
 
-    ``distinct`` has each node once: the long columns of ``rule.columns``, the first of which names the node.
-    The links are a spanning forest of every bucket, so two nodes are connected by them exactly if they are
+    ``distinct`` has each node once: the long column ``block``. The links are a spanning forest of every bucket, so two nodes are connected by them exactly if they are
     by the links of the rule.
     """
-    keyed = distinct.select(F.struct(*rule.columns).alias("fp"), F.explode(_keys(F.col("block"), rule.segments, rule.radius)).alias("key")).select("fp", "key.choice", "key.bits")
+    keyed = distinct.select(F.struct("block").alias("fp"), F.explode(_keys(F.col("block"), rule.segments, rule.radius)).alias("key")).select("fp", "key.choice", "key.bits")
     crowds = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
     blocks = crowds.select("choice", "bits", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -249,9 +223,9 @@ def linked_pairs(distinct: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             lists = batch.column(0)
             flat = lists.flatten()
-            fps = {k: np.asarray(flat.field(k)).view(np.uint64) for k in rule.columns}
+            fps = {"block": np.asarray(flat.field("block")).view(np.uint64)}
             a, b = _links_of_batch(fps, np.asarray(lists.value_lengths()), rule, pivots)
-            names = fps[rule.columns[0]].view(np.int64)
+            names = fps["block"].view(np.int64)
             a, b = names[a], names[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -281,25 +255,128 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("node_"), F.col("lo").alias("label")).unionAll(edges.select(F.col("lo").alias("node_"), F.col("lo").alias("label"))).distinct()
 
 
-def group_ids(df: DataFrame, key: list[str], text: str, rule: Rule, shingle_words: int = 4) -> DataFrame:
-    """(key columns, fp, group): ``group`` is the least key of the row's component, as a struct.
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles of a text as sorted digests."""
+    return np.unique(shingle_hashes(text, SIMILAR_WORDS))
 
-    Keys order by their columns, nulls last. Rows with equal keys stay separate rows.
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first digests of a set in the order of (count among the common ones, digest), so many that two sets of
+    the least similarity have one of them in common.
+
+    Any order that is the same for all texts will do, so what is taken for common affects the size of blocks only.
     """
-    ordered = F.struct(*(f(F.col(f"`{k}`")).alias(f"{k}_{n}") for k in key for n, f in (("none", F.isnull), ("value", lambda c: c))))
-    if rule.check_radius is None:
-        marked = fingerprints(df.select(*key, text), text, shingle_words, "block")
-    else:
-        marked = checked_fingerprints(df.select(*key, text), text).select(*key, "fps.*")
-    node = rule.columns[0]
-    marked = written(marked.select(*key, *rule.columns), "fingerprints")
-    distinct = marked.groupBy(node).agg(F.min(ordered).alias("least"), *(F.min(c).alias(c) for c in rule.columns[1:]))
-    labels = components(linked_pairs(distinct.select(*rule.columns), rule))
+    most = len(hashes) - -(-len(hashes) * SIMILAR[0] // SIMILAR[1]) + 1
+    if not len(common):
+        return hashes[:most]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    rank = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[:most]]
+
+
+def _sets(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+    return of(text)
+
+
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted digests, counts) of the shingles that ``COMMON`` or more of a sample of the texts hold."""
+    one_in = max(1, round(texts.count() / SAMPLE_TEXTS))
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)
+    rows = sample.select(F.explode(_sets(F.col("t"))).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    found = rows.toPandas()
+    common = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], found["count"].to_numpy(np.int64)[order]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets reach the least similarity."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = []
+            for side in ("a_set", "b_set"):
+                lists = batch.column(side)
+                ends = np.cumsum(np.asarray(lists.value_lengths()))
+                both.append(np.split(np.asarray(lists.flatten()), ends[:-1]) if len(ends) else [])
+            keep = []
+            for x, y in zip(*both, strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * SIMILAR[1] >= SIMILAR[0] * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.select("a", "b", "a_set", "b_set").mapInArrow(verified, "a long, b long")
+
+
+def similar_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, between ``node``s that connect all whose texts ``t`` reach the least similarity, and no others.
+
+    Candidates are exact (prefix filter): similar sets share one of the first digests of either. Every text that
+    shares one is first held against the least text of that digest; what these links do not connect yet is
+    compared pair by pair. Each link is verified by the exact similarity.
+    """
+    common, counts = _common_shingles(texts)
+
+    @F.pandas_udf("struct<n: int, first: array<long>>")
+    def marks(column: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in column]
+        return pd.DataFrame({"n": [len(x) for x in sets], "first": [prefix(x, common, counts).view(np.int64) for x in sets]})
+
+    marked = written(texts.select("node", marks("t").alias("m")).select("node", "m.*"), "prefixes")
+    posts = marked.select(F.explode("first").alias("h"), "node", "n").repartition("h")
+    leads = posts.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node < last").select("h", "lead")
+    shared = written(posts.join(leads, "h"), "shared")
+    close = lambda x, y: F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]
+    led = written(shared.where((F.col("node") != F.col("lead.node")) & close(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "led")
+    sets = written(texts.join(shared.select("node").distinct(), "node", "left_semi").select("node", _sets(F.col("t")).alias("shingles")), "sets")
+    links = written(_similar(led, sets), "similar")
+    labels = components(links)
+    at = shared.join(labels, shared.node == labels.node_, "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
+    open_ = written(at.join(mixed, "h"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & close(F.col("x.n"), F.col("y.n"))
+    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
+    return links.unionAll(_similar(rest, sets))
+
+
+def _ordered(key: list[str]) -> Column:
+    """Key columns as a struct that orders by them, nulls last."""
+    return F.struct(*(f(F.col(f"`{k}`")).alias(f"{k}_{n}") for k in key for n, f in (("none", F.isnull), ("value", lambda c: c))))
+
+
+def _grouped(marked: DataFrame, key: list[str], node: str, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    labels = components(links)
     at = distinct.join(labels, distinct[node] == labels.node_, "left").select(F.col(node).alias("fp"), F.coalesce("label", node).alias("label"), "least")
     of_label = at.groupBy("label").agg(F.min("least").alias("group"))
     return marked.select(*key, F.col(node).alias("fp")).join(at.join(of_label, "label").select("fp", "group"), "fp")
 
 
+def group_ids(df: DataFrame, key: list[str], text: str, rule: Rule, shingle_words: int = 4) -> DataFrame:
+    """(key columns, fp, group): ``group`` is the least key of the row's component, as a struct.
+
+    Keys order by their columns, nulls last. Rows with equal keys stay separate rows.
+    """
+    marked = written(fingerprints(df.select(*key, text), text, shingle_words, "block").select(*key, "block"), "fingerprints")
+    distinct = marked.groupBy("block").agg(F.min(_ordered(key)).alias("least"))
+    return _grouped(marked, key, "block", distinct, linked_pairs(distinct.select("block"), rule))
+
+
+def similar_groups(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """As ``group_ids``, for texts whose shingle sets reach the least similarity; texts without words are alike."""
+    bare = F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SPACE_CHARS))
+    named = df.select(*key, F.xxhash64(bare).alias("node"), bare.alias("t"))
+    marked = written(named.select(*key, "node"), "texts")
+    texts = written(named.groupBy("node").agg(F.first("t").alias("t")), "distinct")
+    return _grouped(marked, key, "node", marked.groupBy("node").agg(F.min(_ordered(key)).alias("least")), similar_links(texts))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 4, rule: Rule = CONTRACT) -> DataFrame:
     """One row per row of ``df``: (key, fingerprint as 16 hex digits, component_id).
 
@@ -313,7 +390,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return found.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("group.k_value").alias("component_id"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = SIMILAR) -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near duplicates: the row with the smallest key of each component stays.
 
     Rows without a key order after all others, by a digest of their text. Of rows that repeat a key, the one
@@ -323,7 +400,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule
     digest = F.xxhash64(F.col(f"`{text}`"))
     rows = df.select(F.col(f"`{key}`").alias("k"), digest.alias("d"), F.col(f"`{text}`").alias("t"))
     own = F.col("k").eqNullSafe(F.col("group.k_value")) & (F.col("d") == F.col("group.d_value"))
-    keep = group_ids(rows, ["k", "d"], "t", rule).where(own).groupBy(F.col("k").alias("keep_k"), F.col("d").alias("keep_d")).count()
+    keep = similar_groups(rows, ["k", "d"], "t").where(own).groupBy(F.col("k").alias("keep_k"), F.col("d").alias("keep_d")).count()
     keep = written(keep, "keep")
     kept = df.withColumn(tie, digest).join(keep, F.col(f"`{key}`").eqNullSafe(F.col("keep_k")) & (F.col(tie) == F.col("keep_d")), "left_semi")
     if keep.where("count > 1").limit(1).count():

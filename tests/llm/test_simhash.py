@@ -110,3 +110,33 @@ def test_near_copies_go_and_clean_texts_stay(spark):
     kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(60)) <= kept  # no clean text goes
     assert len(kept) - 60 <= 3  # blocking on word pairs misses a few of a hundred similar pairs
+
+
+def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE_TEXTS", 60)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    passage, texts = [word() for _ in range(30)], []
+    for _ in range(50):
+        w = [word() for _ in range(rng.choice((6, 40, 150, 400)))]
+        w[3:3] = passage if rng.random() < 0.4 else []
+        texts.append(w)
+        for _ in range(rng.randrange(5)):  # similarities on both sides of the least one
+            v = list(w)
+            for _ in range(1 + round(len(w) * rng.uniform(0, 0.05))):
+                v[rng.randrange(len(v))] = word()
+            texts.append(v)
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    label = list(range(len(texts)))
+    at = []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            alike = len(x & sets[j]) / len(x | sets[j])
+            at.append(alike)
+            if len(x & sets[j]) * 5 >= 4 * len(x | sets[j]):
+                label = [label[j] if v == label[i] else v for v in label]
+    assert sum(0.8 <= a < 0.85 for a in at) > 5 and sum(0.7 < a < 0.8 for a in at) > 5
+    first = {v: label.index(v) for v in label}
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(first.values())
