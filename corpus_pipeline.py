@@ -21,10 +21,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
+#: Documents are less alike than pages of a web site: a line in over this share of comparable documents is boilerplate.
+LINE_RATIO = 0.005
+#: Fewer documents than this across the sources of a language may as well be copies of each other.
+LINE_MIN_DOCS = 20
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over a tenth of a source's documents go; every document stays, with its new number of characters."""
+    """Lines that repeat go, first within a source's documents of a language, then over all sources of a language;
+    every document stays, with its new number of characters."""
     columns = docs.columns
-    cleaned = linededup.deduplicated(docs, F.col("source"), "text")
+    cell = F.to_json(F.struct("source", "lang"))
+    cleaned = written(linededup.deduplicated(docs, cell, "text", LINE_RATIO).select(*columns), "cells")
+    cleaned = linededup.deduplicated(cleaned, F.col("lang"), "text", LINE_RATIO, LINE_MIN_DOCS)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 

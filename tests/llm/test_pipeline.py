@@ -47,3 +47,13 @@ def test_run_and_registration(spark, sf_dir):
     assert out.count() > 0 and {r.n_tokens > 0 for r in out.select("n_tokens").collect()} == {True}
     assert [q for q in QUERIES if q.startswith("op")] == sorted((q for q in QUERIES if q.startswith("op")), key=lambda q: int(q[2:].split("_")[0]))
     assert len(P.STAGES) == 5 and "pipeline" in QUERIES
+
+
+def test_lines_that_repeat_thinly_go(spark):
+    """A line on one in ten documents of a language, spread over the sources, and one of a source on one in fifteen."""
+    rows = [(i, f"own {i}\n" + ("everywhere" if i % 10 == 0 and i % 4 == 2 else "of it") + f" {'fr' if i % 4 == 2 else i}\nend {i}", "fr" if i % 4 == 2 else "en", f"s{i % 40}") for i in range(2000)]
+    rows += [(5000 + i, f"text {i}\n" + ("a note of this source" if i % 15 == 0 else f"none {i}"), "en", "t") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in P.line_dedup(spark, docs, "").collect()}
+    repeated = ("everywhere fr", "of it fr", "a note of this source")
+    assert got == {r[0]: "\n".join(x for x in r[1].split("\n") if x not in repeated) for r in rows}
