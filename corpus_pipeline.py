@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     every document stays, with its new number of characters."""
     columns = docs.columns
     cell = F.to_json(F.struct("source", "lang"))
-    cleaned = written(linededup.deduplicated(docs, cell, "text", LINE_RATIO).select(*columns), "cells")
+    cleaned = linededup.deduplicated(docs, cell, "text", LINE_RATIO).select(*columns)
     cleaned = linededup.deduplicated(cleaned, F.col("lang"), "text", LINE_RATIO, LINE_MIN_DOCS)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
 

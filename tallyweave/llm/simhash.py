@@ -61,7 +61,7 @@ CONTRACT = Rule(radius=4, segments=6)
 SIMILAR = (4, 5)
 SIMILAR_WORDS = 5
 #: Texts, about, whose shingles are counted to find the common ones, and the count from which one is common.
-SAMPLE_TEXTS = 20_000
+SAMPLE_TEXTS = 8_000
 COMMON = 3
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
@@ -260,6 +260,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SIMILAR_WORDS))
 
 
+def ranks(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of digests among the common ones, 0 for others."""
+    if not len(common):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return np.where(common[at] == hashes, counts[at], 0)
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first digests of a set in the order of (count among the common ones, digest), so many that two sets of
     the least similarity have one of them in common.
@@ -267,11 +275,27 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.nda
     Any order that is the same for all texts will do, so what is taken for common affects the size of blocks only.
     """
     most = len(hashes) - -(-len(hashes) * SIMILAR[0] // SIMILAR[1]) + 1
-    if not len(common):
-        return hashes[:most]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    rank = np.where(common[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, rank))[:most]]
+    return hashes[np.lexsort((hashes, ranks(hashes, common, counts)))[:most]]
+
+
+def most_shared(x: np.ndarray, n: int, y: np.ndarray, m: int, common: np.ndarray, counts: np.ndarray) -> int:
+    """A bound of what two sets of ``n`` and ``m`` digests share, from their prefixes: up to the end of the one that
+    ends first all that is shared is seen, behind it at most the rest of either set."""
+    rx, ry = ranks(x, common, counts), ranks(y, common, counts)
+    rank, last = min((rx[-1], x[-1]), (ry[-1], y[-1]))
+    seen = [int(np.count_nonzero((r < rank) | ((r == rank) & (h <= last)))) for h, r in ((x, rx), (y, ry))]
+    return len(np.intersect1d(x, y, assume_unique=True)) + min(n - seen[0], m - seen[1])
+
+
+def _alike(shared: int, n: int, m: int) -> bool:
+    return shared * SIMILAR[1] >= SIMILAR[0] * (n + m - shared)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    if not len(column):
+        return []
+    ends = np.cumsum(np.asarray(column.value_lengths()))
+    return np.split(np.asarray(column.flatten()).view(np.uint64), ends[:-1])
 
 
 def _sets(text: Column) -> Column:
@@ -285,7 +309,7 @@ def _sets(text: Column) -> Column:
 def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted digests, counts) of the shingles that ``COMMON`` or more of a sample of the texts hold."""
     one_in = max(1, round(texts.count() / SAMPLE_TEXTS))
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0)
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).dropDuplicates(["node"])
     rows = sample.select(F.explode(_sets(F.col("t"))).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
     found = rows.toPandas()
     common = found["h"].to_numpy(np.int64).view(np.uint64)
@@ -293,25 +317,28 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return common[order], found["count"].to_numpy(np.int64)[order]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts whose shingle sets reach the least similarity."""
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
+def _similar(pairs: DataFrame, texts: DataFrame, marked: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets reach the least similarity: by the bound of their prefixes first,
+    so that whole sets are made only for texts that may have a partner."""
+    of = lambda rows, side: rows.select(*(F.col(c).alias({"node": side}.get(c, f"{side}_{c}")) for c in rows.columns))
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (_lists(batch.column("a_first")), batch.column("a_n").to_pylist(), _lists(batch.column("b_first")), batch.column("b_n").to_pylist())
+            keep = [_alike(most_shared(x, n, y, m, common, counts), n, m) for x, n, y, m in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = []
-            for side in ("a_set", "b_set"):
-                lists = batch.column(side)
-                ends = np.cumsum(np.asarray(lists.value_lengths()))
-                both.append(np.split(np.asarray(lists.flatten()), ends[:-1]) if len(ends) else [])
-            keep = []
-            for x, y in zip(*both, strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared * SIMILAR[1] >= SIMILAR[0] * (len(x) + len(y) - shared))
+            both = zip(_lists(batch.column("a_set")), _lists(batch.column("b_set")), strict=True)
+            keep = [_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("a", "b", "a_set", "b_set").mapInArrow(verified, "a long, b long")
+    first = pairs.join(of(marked, "a"), "a").join(of(marked, "b"), "b").select("a", "b", "a_n", "a_first", "b_n", "b_first")
+    close = written(first.mapInArrow(may_be, "a long, b long"), "close")
+    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", _sets(F.col("t")).alias("set")), "sets")
+    return written(close.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(are, "a long, b long"), "similar")
 
 
 def similar_links(texts: DataFrame) -> DataFrame:
@@ -319,7 +346,7 @@ def similar_links(texts: DataFrame) -> DataFrame:
 
     Candidates are exact (prefix filter): similar sets share one of the first digests of either. Every text that
     shares one is first held against the least text of that digest; what these links do not connect yet is
-    compared pair by pair. Each link is verified by the exact similarity.
+    compared pair by pair. Each link is verified by the exact similarity. Rows of a node have the same text.
     """
     common, counts = _common_shingles(texts)
 
@@ -328,14 +355,13 @@ def similar_links(texts: DataFrame) -> DataFrame:
         sets = [shingle_set(t) for t in column]
         return pd.DataFrame({"n": [len(x) for x in sets], "first": [prefix(x, common, counts).view(np.int64) for x in sets]})
 
-    marked = written(texts.select("node", marks("t").alias("m")).select("node", "m.*"), "prefixes")
+    marked = written(texts.where("t <> ''").select("node", marks("t").alias("m")).select("node", "m.*").dropDuplicates(["node"]), "prefixes")
     posts = marked.select(F.explode("first").alias("h"), "node", "n").repartition("h")
     leads = posts.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node < last").select("h", "lead")
     shared = written(posts.join(leads, "h"), "shared")
     close = lambda x, y: F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]
     led = written(shared.where((F.col("node") != F.col("lead.node")) & close(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    sets = written(texts.join(shared.select("node").distinct(), "node", "left_semi").select("node", _sets(F.col("t")).alias("shingles")), "sets")
-    links = written(_similar(led, sets), "similar")
+    links = _similar(led, texts, marked, common, counts)
     labels = components(links)
     at = shared.join(labels, shared.node == labels.node_, "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
@@ -343,7 +369,7 @@ def similar_links(texts: DataFrame) -> DataFrame:
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & close(F.col("x.n"), F.col("y.n"))
     rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
-    return links.unionAll(_similar(rest, sets))
+    return links.unionAll(_similar(rest, texts, marked, common, counts))
 
 
 def _ordered(key: list[str]) -> Column:
@@ -373,8 +399,7 @@ def similar_groups(df: DataFrame, key: list[str], text: str) -> DataFrame:
     bare = F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SPACE_CHARS))
     named = df.select(*key, F.xxhash64(bare).alias("node"), bare.alias("t"))
     marked = written(named.select(*key, "node"), "texts")
-    texts = written(named.groupBy("node").agg(F.first("t").alias("t")), "distinct")
-    return _grouped(marked, key, "node", marked.groupBy("node").agg(F.min(_ordered(key)).alias("least")), similar_links(texts))
+    return _grouped(marked, key, "node", marked.groupBy("node").agg(F.min(_ordered(key)).alias("least")), similar_links(named.select("node", "t")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 4, rule: Rule = CONTRACT) -> DataFrame:
