@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,25 +24,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is used.
+    Only where the session names none and runs on one machine (tests) a local folder is used; on a cluster that is an error, as
+    each executor would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"tallyweave-{os.getpid()}")
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read from there.
 
     Later readers depend on the files alone, so a lost executor never repeats the work above them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Put:
+    """Writes tables into one folder of its own inside the shared folder: ``put(df, name)`` is ``written`` there."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.kept = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", False
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.folder)
+
+    def stay(self) -> None:
+        """The tables are part of a result: they stay until the owner of the shared folder clears it."""
+        self.kept = True
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Put]:
+    """Intermediate tables that are deleted behind the block, once what depends on them was written elsewhere."""
+    put = Put(spark)
+    try:
+        yield put
+    finally:
+        if not put.kept:
+            put.drop()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
