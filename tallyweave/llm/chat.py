@@ -12,21 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyweave.llm.shared import SPACE, SPACE_CHARS
 
 #: Turn numbers of a block: a window holds one block of a dialogue and perspective.
 BLOCK_TURNS = 256
 
 # The template: fixed strings around a turn.
 HEAD, NAME, TAIL = "<|im_start|>", " name=", "<|im_end|>\n"
+#: Marks inside of a text or a name, which would forge a turn, get a space behind their first character.
+MARKS = r"<\|(im_start|im_end)\|>"
 #: Roles that only give the scene: they are rendered as they are in every perspective and have none of their own.
 SCENE = ("system",)
 #: A turn without a role is spoken by this one.
 UNNAMED = "unknown"
 
 
+def escaped(text: Column) -> Column:
+    """The text without marks of the template."""
+    return F.regexp_replace(text, MARKS, "< |$1|>")
+
+
 def speaker_of(role: Column) -> Column:
-    """The participant of a role: trimmed, white space inside as underscore; ``UNNAMED`` for null and blank."""
-    name = F.regexp_replace(F.trim(role), r"[\x20\x09-\x0D]+", "_")
+    """The participant of a role: trimmed, white space inside as underscore, marks escaped; ``UNNAMED`` for null and blank."""
+    name = escaped(F.regexp_replace(F.btrim(role, F.lit(SPACE_CHARS)), f"[{SPACE}]+", "_"))
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit(UNNAMED)).otherwise(name)
 
 
@@ -43,10 +51,10 @@ def rotated(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     mask: content and end mark of the assistant's turns, in the whole rendering; null for others), offsets in code points.
 
     Turns order by number, nulls last, then speaker and text, so ties and repeated rows have a place each. A
-    null text is an empty turn; a null dialogue key is a dialogue of its own. A dialogue of the scene alone has no
+    null text is an empty turn, marks of the template inside of texts and names are escaped; a null dialogue key is a dialogue of its own. A dialogue of the scene alone has no
     perspective and no rows. Empty tables give an empty result; other columns are not read.
     """
-    turns = df.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), speaker_of(F.col(f"`{role}`")).alias("speaker"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    turns = df.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), speaker_of(F.col(f"`{role}`")).alias("speaker"), escaped(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text"))
     block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS).cast("long"), F.lit((1 << 63) - 1)).alias("block")
     sides = participants(turns, "conv", "speaker").select(F.col("conv").alias("c"), "perspective")
     own = F.col("speaker") == F.col("perspective")
@@ -76,5 +84,3 @@ def renderings(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
     got = rows.groupBy(conv, "perspective").agg(part.alias("parts"))
     masks = F.transform(F.filter("parts", lambda p: p["mask_start"].isNotNull()), lambda p: F.struct(p["mask_start"].alias("start"), p["mask_end"].alias("end")))
     return got.select(conv, "perspective", F.array_join(F.transform("parts", lambda p: p["segment"]), "").alias("rendered"), masks.alias("masks"))
-
-

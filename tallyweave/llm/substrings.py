@@ -1,9 +1,10 @@
 """Substring dedup by line and sentence hashing.
 
-Each text is cut into units: lines, and within a line runs of sentences that end with a sentence of ``MIN_WORDS`` words or
-more, so that a passage set into other text falls into step with its copies after its first sentence. Units are
-normalised and hashed; digests are grouped globally; the earliest ranked occurrence stays and the others are removed from
-their texts, with their original offsets kept.
+Each text is cut into units by its content alone, so that a passage falls into the same units wherever it is set: lines, in
+a line sentences, and in a sentence of over ``LONG_WORDS`` words what ends with a word whose digest says so. Units are
+normalised and hashed; digests are grouped globally; the earliest ranked occurrence stays. What repeats one is
+removed from its text, with its original offsets kept, if the units that repeat behind each other have ``RUN_WORDS`` words or
+more: a short sentence or heading that two texts share is no passage.
 
 Only digests, ranks and offsets are shuffled, in one aggregation with partial sums and one join; the texts meet the
 removed spans by row digest.
@@ -13,78 +14,108 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import free_name, written
+from tallyweave.llm.shared import Put, free_name, scratch, written
 
-#: A unit with fewer words is never removed; a shorter sentence is joined with the next of its line.
-MIN_WORDS = 8
+#: A run of repeated units with fewer words is never removed.
+RUN_WORDS = 25
+#: A sentence of more words is cut behind words of which one in ``CUT`` is chosen.
+LONG_WORDS, CUT = 24, 8
+#: Bytes that count as a word at least, for writing without spaces.
+WORD_BYTES = 9
 
-_SENTENCE = re.compile(r"[^\n]*?[.!?…]+[\"'»”)\]]*(?=[ \t]|\n|$)[ \t]*|[^\n]+")
-_LINE = re.compile(r"[^\n]+")
-
-
-def units(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of the units, in order; end without trailing white space; offsets in code points."""
-    out = []
-    for line in _LINE.finditer(text):
-        start, words = line.start(), 0
-        for sentence in _SENTENCE.finditer(text, line.start(), line.end()):
-            n = len(sentence.group().split())
-            words += n
-            if n >= MIN_WORDS:
-                out.append((start, sentence.end(), words))
-                start, words = sentence.end(), 0
-        if words:
-            out.append((start, line.end(), words))
-    return [(s, s + len(text[s:e].rstrip()), text[s:e]) for s, e, n in out if n >= MIN_WORDS]
+_PIECE = re.compile(r"[^\n]*?(?:[.!?…]+[\"'»”)\]]*(?=[ \t]|\n|$)|[。！？]+)[ \t]*|[^\n]+")
+_WORD = re.compile(r"\S+\s*")
 
 
 def normal(unit: str) -> str:
     """NFKC, case folded, words joined by one space."""
-    return " ".join(unicodedata.normalize("NFKC", unit).casefold().split())
+    return " ".join((unit.lower() if unit.isascii() else unicodedata.normalize("NFKC", unit).casefold()).split())
+
+
+def n_words(unit: str) -> int:
+    """Words of a unit; a stretch without spaces counts by its bytes."""
+    return max(unit.count(" ") + 1, len(unit.encode()) // WORD_BYTES)
+
+
+def units(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised text) of the units, in order, without the white space around; offsets in code points."""
+    for piece in _PIECE.finditer(text):
+        start, end = piece.span()
+        whole = normal(piece.group())
+        if whole.count(" ") < LONG_WORDS:
+            spans = [(start, end)]
+        else:
+            cuts = [w.end() for w in _WORD.finditer(text, start, end) if crc32(normal(w.group()).encode()) % CUT == 0]
+            ends = [*(c for c in cuts if c < end), end]
+            spans = list(zip([start, *ends], ends))
+        for a, b in spans:
+            raw = text[a:b]
+            bare = raw.strip()
+            if bare:
+                a += len(raw) - len(raw.lstrip())
+                yield a, a + len(bare), whole if len(spans) == 1 else normal(bare)
 
 
 def unit_rows(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with an array column of (digest, digest2, start, end) of each unit; none for null or empty texts."""
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    """``df`` with an array column of (digest, digest2, start, end, words) of each unit; none for null or empty texts."""
 
-    @F.arrow_udf("array<struct<h: long, h2: long, start: int, end: int>>")
+    @F.arrow_udf("array<struct<h: long, h2: long, start: int, end: int, words: int>>")
     def of(texts: pa.Array) -> pa.Array:
-        def one(t: str | None) -> list[dict]:
-            rows = []
-            for s, e, u in units(t or ""):
-                d = xxhash.xxh3_128_intdigest(normal(u).encode())
-                rows.append({"h": (d >> 64) - (1 << 63), "h2": (d & (1 << 64) - 1) - (1 << 63), "start": s, "end": e})
-            return rows
-
-        return pa.array((one(t.as_py()) for t in texts), kind)
+        digests, rows, sizes = [], [], [0]
+        for t in texts:
+            for s, e, u in units(t.as_py() or ""):
+                digests.append(xxhash.xxh3_128_digest(u.encode()))
+                rows.append((s, e, n_words(u)))
+            sizes.append(len(rows))
+        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        n = np.array(rows, np.int32).reshape(-1, 3)
+        values = pa.StructArray.from_arrays([pa.array(x) for x in (h[:, 0], h[:, 1], n[:, 0], n[:, 1], n[:, 2])], ["h", "h2", "start", "end", "words"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
 
     return df.withColumn(out, of(F.col(f"`{text}`")))
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(df: DataFrame, put: Put, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """(d, k, spans): for each distinct row (key k, text digest d), the spans that repeat an earlier ranked unit.
 
     Rank is by key (nulls last), then text digest, then offset. ``spans`` is an array of (start, end, first_key,
-    first_start), by start: the removed place and where its kept occurrence is.
+    first_start), by start: the removed place and where its kept occurrence is. Repeats in a run of fewer than ``run_words``
+    words are left out.
     """
     named = df.select(F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("d"), F.col(f"`{text}`").alias("t"))
     cut = unit_rows(named, "t", "units").select("k", "d", "units").where(F.size("units") > 0)
-    rows = cut.select("k", "d", F.explode("units").alias("u")).select("k", "d", "u.*")
-    rank = F.struct(F.isnull("k").alias("none"), F.col("k").alias("k"), F.col("d").alias("d"), F.col("start").alias("start"))
-    rows = written(rows, "units")
-    firsts = rows.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
-    later = rows.join(firsts, ["h", "h2"]).where(~((F.col("first.none") == F.isnull("k")) & F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.d") == F.col("d")) & (F.col("first.start") == F.col("start"))))
-    span = F.struct("start", "end", F.col("first.k").alias("first_key"), F.col("first.start").alias("first_start"))
-    return later.groupBy("k", "d").agg(F.sort_array(F.collect_set(span)).alias("spans"))
-
-
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", out: str | None = None, spans: str = "removed") -> DataFrame:
+    rows = put(cut.select("k", "d", F.posexplode("units").alias("i", "u")).select("k", "d", "i", "u.*"), "units")
+    rank = F.struct(F.isnull("k").alias("none"), F.col("k").alias("k"), F.col("d").alias("d"), F.col("i").alias("i"), F.col("start").alias("start"))
+    # written, so that Spark can split the rows of a very common unit in the join
+    firsts = put(rows.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n"), "firsts")
+    later = rows.join(firsts, ["h", "h2"]).where(~((F.col("first.none") == F.isnull("k")) & F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.d") == F.col("d")) & (F.col("first.i") == F.col("i"))))
+    span = F.struct("i", "start", "end", "words", F.col("first.k").alias("first_key"), F.col("first.start").alias("first_start"))
+    found = later.groupBy("k", "d").agg(F.sort_array(F.collect_set(span)).alias("all"))
+
+    @F.arrow_udf("array<boolean>")
+    def long(places: pa.Array, words: pa.Array) -> pa.Array:
+        i, n, sizes = np.asarray(places.flatten()), np.asarray(words.flatten()), np.asarray(places.value_lengths())
+        new = np.diff(i, prepend=-2) != 1
+        new[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        run = np.cumsum(new) - 1
+        keep = np.bincount(run, n)[run] >= run_words if len(i) else np.empty(0, bool)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keep, pa.bool_()))
+
+    flagged = found.withColumn("long", long(F.transform("all", lambda x: x["i"]), F.transform("all", lambda x: x["words"])))
+    spans = F.transform(F.filter("all", lambda x, n: F.get(F.col("long"), n)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["first_key"].alias("first_key"), x["first_start"].alias("first_start")))
+    return flagged.select("k", "d", spans.alias("spans")).where(F.size("spans") > 0)
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", out: str | None = None, spans: str = "removed", run_words: int = RUN_WORDS) -> DataFrame:
     """``df`` with repeated units cut out of ``text`` (or into ``out``), and the removed spans in an array column.
 
     Cut spans are replaced by nothing; the white space around them stays. Null texts stay null, with no spans; all
@@ -94,7 +125,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", out: st
     """
     out, spans = out or text, free_name(df, spans)
     digest, k, d = (free_name(df, x) for x in ("_digest", "_k", "_d"))
-    found = written(repeats(df, key, text), "spans").select(F.col("k").alias(k), F.col("d").alias(d), F.col("spans").alias(spans))
+    with scratch(df.sparkSession) as put:
+        found = written(repeats(df, put, key, text, run_words), "spans").select(F.col("k").alias(k), F.col("d").alias(d), F.col("spans").alias(spans))
     met = df.withColumn(digest, F.xxhash64(F.col(f"`{text}`"))).join(found, F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(digest) == F.col(d)), "left")
     first_kind = dict(found.dtypes)[spans]
     cuts = F.coalesce(F.col(spans), F.array().cast(first_kind))
