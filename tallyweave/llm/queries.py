@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, chat, linededup, media, mixing, quality, secrets, simhash, substrings, tokencount
-from tallyweave.llm.shared import table
+from tallyweave.llm.shared import table, written
 
 
 def vocabulary_path(name: str) -> str:
@@ -63,7 +63,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.visible_lines(F.col("html")).alias("text"))
-    return linededup.deduplicated(pages, F.col("host"), "text")
+    pages = written(pages, "visible")  # the lines of a page are made once
+    return linededup.deduplicated(pages, F.col("host"), "text", normalised=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,8 @@ _WS = r"[ \t-\r]"
 ORACLE_SQL: dict[str, str] = {
     "op3_secrets": _secrets_sql(),
     "op4_perspectives": rf"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE regexp_replace(trim(role), '{_WS}+', '_', 'g') END AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH e AS (SELECT conv_id, turn, trim(role, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS role, regexp_replace(coalesce(text, ''), '{chat.MARKS}', '< |\1|>', 'g') AS text FROM conversations),
+t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(regexp_replace(role, '{_WS}+', '_', 'g'), '{chat.MARKS}', '< |\1|>', 'g') END AS speaker, text FROM e),
 s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS as_role FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 g AS (SELECT *, '<|im_start|>' || as_role || CASE WHEN as_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
@@ -116,20 +118,18 @@ s2 AS (SELECT *, CAST(n % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE
 s3 AS (SELECT *, CAST(total AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining, sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s2),
 lv AS (SELECT arg_min(remaining, cap / weight) AS remaining, arg_min(weights, cap / weight) AS weights FROM s3 WHERE remaining * weight / weights <= cap),
 s AS (SELECT s2.*, least(coalesce(lv.remaining * weight / lv.weights, cap), cap) AS target FROM s2, lv),
-tt AS (SELECT sum(target) AS whole FROM s),
-iv AS (SELECT n, source_size, CAST(ceil(sum(target) OVER (ORDER BY n) / whole * 4294967296.0) AS BIGINT) AS high FROM s, tt),
-bounds AS (SELECT *, coalesce(lag(high) OVER (ORDER BY n), 0) AS low FROM iv),
-points AS (SELECT i AS slot, (((((i >> 16) * {mixing.GOLDEN}) & 65535) << 16) + (i & 65535) * {mixing.GOLDEN}) & 4294967295 AS point FROM (SELECT unnest(range(CAST(ceil(whole / {mixing.BLOCK_WORDS}) AS BIGINT))) AS i FROM tt)),
-ranked AS (SELECT n, source_size, row_number() OVER (PARTITION BY n ORDER BY slot) - 1 AS r, CAST(ceil(source_size / {mixing.BLOCK_WORDS}) AS BIGINT) AS blocks FROM points JOIN bounds ON point >= low AND point < high),
-times AS (SELECT n, r % blocks AS block, count(*) AS times FROM ranked WHERE r // blocks < 3 GROUP BY ALL),
-laid AS (SELECT doc_id, size, n, s.source_size, target, CAST(coalesce(sum(size) OVER (PARTITION BY n ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size > 0),
-pieces AS (SELECT *, unnest(range(start // {mixing.BLOCK_WORDS}, (start + size - 1) // {mixing.BLOCK_WORDS} + 1)) AS block FROM laid)
-SELECT doc_id, size, p.source_size, target, CAST(sum((least((p.block + 1) * {mixing.BLOCK_WORDS}, start + size) - greatest(p.block * {mixing.BLOCK_WORDS}, start)) * coalesce(times, 0)) AS BIGINT) AS taken FROM pieces p LEFT JOIN times t ON p.n = t.n AND p.block = t.block GROUP BY doc_id, size, p.source_size, target, start, p.n
+tt AS (SELECT greatest({mixing.BLOCK_WORDS}, CAST(ceil(sum(target) / {mixing.MOST_BLOCKS}) AS BIGINT)) AS general FROM s),
+bl AS (SELECT s.*, greatest(1, CAST(ceil(source_size / least(general, greatest({mixing.BLOCK_WORDS}, source_size // {mixing.LEAST_BLOCKS}))) AS BIGINT)) AS blocks FROM s, tt),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS quota, source_size % blocks AS longer, source_size // blocks AS short FROM bl),
+laid AS (SELECT doc_id, size, q.*, CAST(coalesce(sum(size) OVER (PARTITION BY n ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source WHERE size > 0),
+ends AS (SELECT *, CASE WHEN start < longer * (short + 1) THEN start // (short + 1) ELSE longer + (start - longer * (short + 1)) // short END AS lo, start + size - 1 AS e FROM laid),
+pieces AS (SELECT *, unnest(range(lo, CASE WHEN e < longer * (short + 1) THEN e // (short + 1) ELSE longer + (e - longer * (short + 1)) // short END + 1)) AS block FROM ends)
+SELECT doc_id, size, source_size, target, CAST(sum((least((block + 1) * short + least(block + 1, longer), start + size) - greatest(block * short + least(block, longer), start)) * (quota // blocks + CAST(block < quota % blocks AS INT))) AS BIGINT) AS taken FROM pieces GROUP BY doc_id, size, source_size, target, start, n
 UNION ALL SELECT doc_id, size, s.source_size, target, 0 FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size = 0""",
     "op9_line_dedup": rf"""
 WITH h AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
  list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '{linededup.HIDDEN}', '', 'g'), '{linededup.BREAKS}', chr(10), 'g'), '<[^<>]*>', '', 'g'), chr(10)), lambda x: regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_WS}+', ' ', 'g')), lambda x: x <> '') AS lines FROM pages),
-u AS (SELECT DISTINCT host, lines FROM h), tot AS (SELECT host, count(*) AS p FROM u GROUP BY host), l AS (SELECT host, unnest(list_distinct(lines)) AS line FROM u),
+tot AS (SELECT host, count(*) AS p FROM h GROUP BY host), l AS (SELECT host, unnest(list_distinct(lines)) AS line FROM h),
 n AS (SELECT host, line, count(*) AS n FROM l GROUP BY ALL), c AS (SELECT n.host, list(line) AS gone FROM n JOIN tot ON n.host IS NOT DISTINCT FROM tot.host WHERE n >= {linededup.MIN_PAGES} AND n > {linededup.RATIO} * p GROUP BY n.host)
 SELECT page_id, h.host, array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)), chr(10)) AS text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(list_filter(lines, lambda x: list_contains(coalesce(gone, []), x))) AS BIGINT) AS n_dropped FROM h LEFT JOIN c ON h.host IS NOT DISTINCT FROM c.host""",
 }
