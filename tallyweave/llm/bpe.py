@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.shared import free_name
 from tallyweave.llm.vocabulary import Vocabulary, load, parse
 
 # What the library's Unicode tables know, as code point ranges in hexadecimal.
@@ -31,6 +32,8 @@ _NEWER_LETTERS = (
     "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 "
     "113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
 )
+#: Numbers newer than Python's own tables that its patterns know.
+_NEWER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
 #: Capitals newer than Python's own tables, with their small letters.
 _NEWER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
@@ -51,24 +54,24 @@ def _spans(points: set[int]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
 
 
-def _later_letters() -> set[int]:
-    """What the pattern module takes for letters and the library does not know yet."""
+def _later(kind: str, known: str) -> set[int]:
+    """What the pattern module takes for this kind and the library does not know yet."""
     unassigned = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
-    return set(map(ord, regex.findall(r"\p{L}", unassigned))) - _points(_NEWER_LETTERS)
+    return set(map(ord, regex.findall(kind, unassigned))) - _points(known)
 
 
 _SPACE = _spans(_points(_WHITE))
-_LATER = _spans(_later_letters() | {0x10FFFF})  # never empty
+_LATER_LETTERS, _LATER_NUMBERS = (_spans(_later(*x) | {0x10FFFF}) for x in ((r"\p{L}", _NEWER_LETTERS), (r"\p{N}", _NEWER_NUMBERS)))  # never empty
 #: Pre-tokens of the vocabulary with word ends; what matches none is dropped.
-_WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER}]]+|\p{{N}}|[[^{_SPACE}\p{{L}}\p{{N}}]||[{_LATER}]]+")
+_WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER_LETTERS}]]+|[\p{{N}}--[{_LATER_NUMBERS}]]|[[^{_SPACE}\p{{L}}\p{{N}}]||[{_LATER_LETTERS}{_LATER_NUMBERS}]]+")
 _MARKS = regex.compile(f"([{_spans(_points(_UNKNOWN_MARKS))}])")
 _CAPITALS = regex.compile(f"[{_spans(set(_NEWER_CAPITALS))}]")
 #: The same pre-tokens for text that has no character beyond U+024F, by explicit classes of Python's own, quicker engine.
 _COMMON_LETTERS, _COMMON_NUMBERS = r"A-Za-zªµºÀ-ÖØ-öø-ɏ", r"0-9²³¹¼½¾"
 _COMMON_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_COMMON_LETTERS}]+|[{_COMMON_NUMBERS}]|[^\t-\r \x85\xa0{_COMMON_LETTERS}{_COMMON_NUMBERS}]+")
 _RARE = re.compile(r"[^\x00-\u024f]")
-#: Pre-tokens that are encoded, hashed and decoded at a time.
-STRIDE = 4096
+#: Characters, about, that are normalised at a time, and pre-tokens that are encoded, hashed and decoded at a time.
+STRETCH, STRIDE = 1 << 16, 4096
 #: Up to this many symbols are merged by the quicker way.
 SHORT = 48
 _NONE = (1 << 60, -1)
@@ -123,21 +126,21 @@ def _merge_short(symbols: list[int], merged: dict[tuple[int, int], tuple[int, in
 class Transducer:
     """Symbols of one pre-token in, tokens out as soon as they are stable.
 
-    A token is stable once the vocabulary's lookahead of symbols from its start is there. At most a few times
-    that many symbols are held, however long the pre-token is.
+    A token is stable once the vocabulary's lookahead of symbols from its start is there. Symbols are taken a lookahead
+    at a time, so at most twice that many are held, however long the pre-token is.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.held: list[int] = []
-        self.room = 4 * vocabulary.lookahead
+        self.room = vocabulary.lookahead
 
     def push(self, symbols: list[int]) -> list[int]:
         """Tokens that became stable with these symbols."""
         out: list[int] = []
         for start in range(0, len(symbols), self.room):
             self.held += symbols[start : start + self.room]
-            if len(self.held) < self.room:
+            if len(self.held) <= self.room:
                 continue
             done = 0
             for token, width in merge(self.held, self.vocabulary):
@@ -175,9 +178,24 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
-def words_of(text: str) -> list[str]:
-    """The pre-tokens of a normalised text."""
-    return (_WORDS if _RARE.search(text) else _COMMON_WORDS).findall(text)
+def words_of(text: str) -> Iterator[list[str]]:
+    """The pre-tokens of a text, ``STRIDE`` at a time, of stretches that are normalised one by one.
+
+    A stretch ends behind a space or line end: neither normalisation nor pre-tokens reach across one.
+    """
+    start = 0
+    while start < len(text):
+        end = len(text)
+        if end - start > STRETCH:
+            end = 1 + max(text.rfind(x, start, start + STRETCH) for x in " \n")
+            if not end:
+                ends = [x for x in (text.find(" ", start), text.find("\n", start)) if x >= 0]
+                end = 1 + min(ends, default=len(text) - 1)
+        part = normalised(text[start:end])
+        start = end
+        found = (_WORDS if _RARE.search(part) else _COMMON_WORDS).findall(part)
+        for n in range(0, len(found), STRIDE):
+            yield found[n : n + STRIDE]
 
 
 def encode(text: str, vocabulary: Vocabulary, memory: dict[str, list[int]]) -> Iterator[list[int]]:
@@ -186,9 +204,7 @@ def encode(text: str, vocabulary: Vocabulary, memory: dict[str, list[int]]) -> I
         if n % 2:
             yield [vocabulary.special[part]]
             continue
-        words = words_of(normalised(part))
-        for start in range(0, len(words), STRIDE):
-            some = words[start : start + STRIDE]
+        for some in words_of(part):
             found = list(map(memory.get, some))
             if None in found:
                 for i, ids in enumerate(found):
@@ -247,7 +263,8 @@ _MEMORY: dict[int, dict[str, list[int]]] = {}
 
 
 def digests(text: str | None, vocabulary: Vocabulary, memory: dict[str, list[int]]) -> tuple[int, str, str]:
-    """(number of ids, SHA-256 of the ids joined by a space, SHA-256 of the decoded text), in constant memory."""
+    """(number of ids, SHA-256 of the ids joined by a space, SHA-256 of the decoded text). Beyond the text itself, memory is
+    that of a stretch, and of one pre-token where that is longer."""
     of_ids, of_text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(vocabulary)
     n, names = 0, vocabulary.names
     for ids in encode(text or "", vocabulary, memory):
@@ -260,7 +277,9 @@ def digests(text: str | None, vocabulary: Vocabulary, memory: dict[str, list[int
 
 
 def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with an array column of token ids. Null and empty texts get an empty array; other columns pass."""
+    """``df`` with an array column of token ids. Null and empty texts get an empty array; other columns pass, and one named as
+    ``ids`` gives the new one an underscore."""
+    ids = free_name(df, ids)
     data = df.sparkSession.sparkContext.broadcast(load(path))
 
     @F.arrow_udf("array<int>")
@@ -273,7 +292,9 @@ def encoded(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> D
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", spaced: bool = True) -> DataFrame:
-    """``df`` with the text of an array column of ids; null gives empty text. Ids outside the vocabulary are an error."""
+    """``df`` with the text of an array column of ids; null gives empty text. Ids outside the vocabulary are an error.
+    Other columns pass, and one named as ``out`` gives the new one an underscore."""
+    out = free_name(df, out)
     data = df.sparkSession.sparkContext.broadcast(load(path))
 
     @F.arrow_udf("string")
@@ -292,8 +313,10 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", sp
 def encoding_digests(df: DataFrame, path: str, text: str = "text", out: str = "encoding") -> DataFrame:
     """``df`` with a struct column (n_tokens, ids_sha256, decoded_sha256) of each whole text, encoded and decoded.
 
-    Null counts as empty: no ids, digests of the empty string. No shuffle; all other columns pass unchanged.
+    Null counts as empty: no ids, digests of the empty string. No shuffle; all other columns pass unchanged, and one named as
+    ``out`` gives the new one an underscore.
     """
+    out = free_name(df, out)
     data = df.sparkSession.sparkContext.broadcast(load(path))
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

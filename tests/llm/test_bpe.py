@@ -36,6 +36,23 @@ def test_encoding_and_decoding(spark):
     assert all(r.ids == want[r.doc_id].ids and r.decoded == library.decode(want[r.doc_id].ids, skip_special_tokens=False) for r in back)
 
 
+def test_every_code_point():
+    library, v, memory = Tokenizer.from_file(WORD), V.parse(V.load(WORD)), {}
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 20_000):
+        texts = [f"a{c}b {c}! {c}1{c}{c}\u0301" for c in points[start : start + 20_000]]
+        for text, e in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert [i for ids in B.encode(text, v, memory) for i in ids] == e.ids, hex(ord(text[1]))
+
+
+def test_stretches_do_not_show(monkeypatch):
+    library, v = Tokenizer.from_file(WORD), V.parse(V.load(WORD))
+    monkeypatch.setattr(B, "STRETCH", 7)
+    monkeypatch.setattr(B, "STRIDE", 2)
+    for text in hard_texts():
+        assert [i for ids in B.encode(text, v, {}) for i in ids] == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_transducer_is_exact_and_bounded(path):
     v = V.parse(V.load(path))
