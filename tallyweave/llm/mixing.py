@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame functions only.
 
-The mix is a row of slots of ``block_words`` words each. Slot ``i`` has the point ``i * golden ratio`` modulo 1 (in
-32-bit integers), which the cumulative target weights map to a source; so every stretch of the schedule holds
-the sources in nearly their shares. A source's documents, shuffled by digest, are cut into equal blocks of words;
-the source's ``r``-th slot takes its block ``r`` modulo the number of blocks, so documents repeat only after all
+A source's documents, shuffled by digest, are cut into blocks of words that are equal but for one word; its quota is the number
+of blocks that comes next to its target. The mix is a row of slots, one block each. Slot ``i`` has the point ``i * golden
+ratio`` modulo 1 (in 32-bit integers), which the cumulative quotas map to a source; so every stretch of the schedule
+holds the sources in nearly their shares. Slots beyond a quota stay empty, what a source lacks follows at the end. The
+source's ``r``-th slot takes its block ``r`` modulo the number of blocks, so documents repeat only after all
 others of the source were used.
 """
 
@@ -22,7 +23,9 @@ GOLDEN = 2654435769
 WEIGHTS = (1, 2, 3)
 #: No source is used more often than this.
 MAX_EPOCHS = 3
-BLOCK_WORDS = 64
+#: A block has this many words at least (but for smaller sources), and so many that the whole has about ``MOST_BLOCKS`` at
+#: most, while a source has ``LEAST_BLOCKS`` of them where its size allows.
+BLOCK_WORDS, MOST_BLOCKS, LEAST_BLOCKS = 64, 1 << 22, 64
 #: Documents of a source are dealt by digest into this many parts for running totals, slots by this many in a row.
 PARTS, SLOT_RUN = 4096, 65536
 #: Cells of the point range, by which slots meet the intervals of the sources.
@@ -37,21 +40,17 @@ def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def targets(of_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``of_source`` (source, source_size) with ``n`` (place in code point order, null last), ``weight`` and ``target``.
+    """``of_source`` (source, source_size) with ``n`` (place in code point order, null last), ``part`` (its range), ``weight``, ``target``.
 
     Targets share the total by weight; one above ``max_epochs`` times its source's size is set to that, and the
     excess goes to the others by weight, until none is above. Each round is one aggregation over the sources;
     only two sums per round reach the driver. If all are capped, the targets add up to less than the total.
     """
-    # sources sort in ranges, so that the places are counted per range and not in one task
-    place = Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
-    lead = of_source.withColumn("range", F.coalesce(F.ascii(F.col("source")), F.lit(1 << 30)))
-    before = lead.groupBy("range").count()
-    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("range", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
-    ranked = lead.withColumn("in_range", F.row_number().over(place) - 1).join(before, "range")
-    n = (F.col("ahead") + F.col("in_range")).alias("n")
-    table = ranked.select("source", "source_size", n).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int")).cast("double"))
+    # sources sort in ranges, so that the places are counted range by range
+    order = F.col("source").asc_nulls_last()
+    ranged = of_source.repartitionByRange(order).select("*", F.spark_partition_id().alias("part"), F.lit(0).alias("zero"), F.lit(1).alias("one"))
+    ranked = _running(written(ranged, "ranges"), "zero", "part", [order], "one", "n")
+    table = ranked.select("source", "source_size", "n", "part").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int")).cast("double"))
     table = written(table.withColumn("cap", F.col("source_size").cast("double") * max_epochs), "sources")
     total, total_weight = table.agg(F.sum("source_size"), F.sum("weight")).first()
     if not total:
@@ -83,56 +82,72 @@ def _running(rows: DataFrame, group: str, part: str, order: list, amount: str, o
     return met.withColumn(out, F.col("_base") + F.col("_in")).drop("_g", "_p", "_base", "_in")
 
 
-def schedule(sources: DataFrame, slots: int, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def quotas(sources: DataFrame, total: float) -> DataFrame:
+    """``sources`` (source_size, target) with ``blocks``, the number of a source's blocks, and ``quota``, how many the mix takes.
+
+    The first ``source_size % blocks`` blocks have a word more than the others.
+    """
+    general = max(BLOCK_WORDS, int(-(-total // MOST_BLOCKS)))
+    size = F.col("source_size")
+    words = F.least(F.lit(general), F.greatest(F.lit(BLOCK_WORDS), F.floor(size / LEAST_BLOCKS)))
+    blocks = F.greatest(F.lit(1), F.ceil(size / words)).cast("long")
+    return sources.withColumn("blocks", blocks).withColumn("quota", F.when(size > 0, F.floor(F.col("target") * F.col("blocks") / size + F.lit(0.5))).otherwise(F.lit(0)).cast("long"))
+
+
+def schedule(sources: DataFrame) -> DataFrame:
     """(slot, n, rank, epoch, block): for each slot its source, the slot's rank there, and the block it takes.
 
-    Slots of sources that are used up (after ``max_epochs``) are left out.
+    ``sources`` has n, part, blocks and quota. Every source gets its quota of slots: those that its points give it up to
+    the quota, then the lacking ones, in rounds over the sources, behind the last point.
     """
-    spark = sources.sparkSession
-    upto = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sources.where("target > 0").select("n", "source_size", F.sum("target").over(upto).alias("end"), "target")
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    if not total or not slots:
-        return spark.createDataFrame([], "slot long, n long, rank long, epoch long, block long")
-    point = lambda x: F.ceil(x / F.lit(total) * F.lit(float(1 << 32))).cast("long")
-    bounds = ends.select("n", "source_size", F.coalesce(F.lag(point(F.col("end"))).over(Window.orderBy("n")), F.lit(0)).alias("low"), point(F.col("end")).alias("high"))
+    slots, places = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    slots, places = int(slots), int(places) + 1
+    low = _running(sources.where("quota > 0").select("n", "part", "blocks", "quota", F.lit(0).alias("zero")), "zero", "part", ["n"], "quota", "ahead")
+    point = lambda x: F.ceil(x.cast("double") / F.lit(float(max(slots, 1))) * F.lit(float(1 << 32))).cast("long")
+    bounds = low.select("n", "blocks", "quota", point(F.col("ahead")).alias("low"), point(F.col("ahead") + F.col("quota")).alias("high"))
     width = (1 << 32) // CELLS
     cells = bounds.where("high > low").withColumn("cell", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"least((high - 1) div {width}, {CELLS - 1})"))))
     i = F.col("id").bitwiseAND(F.lit((1 << 32) - 1))
     spread = F.shiftleft((F.shiftright(i, 16) * GOLDEN).bitwiseAND(F.lit(0xFFFF)), 16) + i.bitwiseAND(F.lit(0xFFFF)) * GOLDEN
-    points = spark.range(slots).select(F.col("id").alias("slot"), spread.bitwiseAND(F.lit((1 << 32) - 1)).alias("point"))
+    points = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), spread.bitwiseAND(F.lit((1 << 32) - 1)).alias("point"))
     points = points.withColumn("cell", F.expr(f"point div {width}"))
-    taken = points.join(cells, "cell").where("point >= low and point < high").select("slot", "n", "source_size", F.expr(f"slot div {SLOT_RUN}").alias("run"), F.lit(1).alias("one"))
-    ranked = _running(taken, "n", "run", ["slot"], "one", "rank")
-    ranked = ranked.withColumn("blocks", F.ceil(F.col("source_size") / block_words))
-    placed = ranked.select("slot", "n", "rank", F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"))
-    return placed.where(F.col("epoch") < max_epochs)
-
-
-def _word_range(start: Column, size: Column, block_words: int) -> Column:
-    """One struct (block, words) for each block that the words ``start`` to ``start + size`` touch."""
-    first, last = F.floor(start / block_words), F.floor((start + size - 1) / block_words)
-    overlap = lambda b: F.least((b + 1) * block_words, start + size) - F.greatest(b * block_words, start)
-    return F.transform(F.sequence(first, last), lambda b: F.struct(b.alias("block"), overlap(b).cast("long").alias("words")))
-
-
-def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    taken = points.join(cells, "cell").where("point >= low and point < high").select("slot", "n", "blocks", "quota", F.expr(f"slot div {SLOT_RUN}").alias("run"), F.lit(1).alias("one"))
+    ranked = _running(taken, "n", "run", ["slot"], "one", "rank").where("rank < quota").select("slot", "n", "blocks", F.col("rank").cast("long").alias("rank"))
+    got = taken.groupBy("n").agg(F.count("*").alias("got"))
+    lacking = bounds.join(got, "n", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < quota")
+    late = lacking.select("n", "blocks", "got", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("rank"))
+    late = late.select((F.lit(slots) + (F.col("rank") - F.col("got")) * places + F.col("n")).cast("long").alias("slot"), "n", "blocks", F.col("rank").cast("long").alias("rank"))
+    return ranked.unionByName(late).select("slot", "n", "rank", F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"))
+
+
+def _word_range(start: Column, size: Column, source_size: Column, blocks: Column) -> Column:
+    """One struct (block, words) for each block that the words ``start`` to ``start + size`` of a source touch."""
+    # the first blocks have a word more
+    longer, short = source_size % blocks, F.floor(source_size / blocks)
+    edge = longer * (short + 1)
+    of = lambda w: F.when(w < edge, F.floor(w / (short + 1))).otherwise(longer + F.floor((w - edge) / short))
+    at = lambda b: b * short + F.least(b, longer)
+    overlap = lambda b: F.least(at(b + 1), start + size) - F.greatest(at(b), start)
+    return F.transform(F.sequence(of(start), of(start + size - 1)), lambda b: F.struct(b.alias("block"), overlap(b).cast("long").alias("words")))
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(key, size, source_size, target, taken) of every row.
 
     ``taken`` counts the words that the mix takes from the row, repeats included; it is at most ``max_epochs``
-    times the size. A null or blank text has size 0 and gives nothing; a null source is a source of its own,
+    times the size. A source's sum lies within half a block of its target, and one word for each block. A null or blank text has size 0 and gives nothing; a null source is a source of its own,
     last in order. Rows that repeat a key are rows of their own. An empty table gives an empty result. Reruns
     agree: nothing depends on the order or partitioning of the input. Other columns are not read.
     """
     docs = written(sizes(df, key, text, source), "sizes")
     of_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = written(targets(of_source, weights, max_epochs), "targets")
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    named = docs.join(sources.select(F.col("source").alias("_s"), "n", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    sources = written(quotas(sources, sources.agg(F.sum("target")).first()[0] or 0.0), "quotas")
+    named = docs.join(sources.select(F.col("source").alias("_s"), "n", "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     full = named.where("size > 0").withColumn("part", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int") % PARTS)
     laid = _running(full, "n", "part", ["digest", "k", "size"], "size", "start")
-    pieces = laid.select("n", "k", "size", "source_size", "target", "start", F.explode(_word_range(F.col("start"), F.col("size"), block_words)).alias("piece")).select("*", "piece.block", "piece.words").drop("piece")
-    times = schedule(sources, int(-(-total // block_words)), block_words, max_epochs).groupBy("n", "block").agg(F.count("*").alias("times"))
+    pieces = laid.select("n", "k", "size", "source_size", "target", "start", F.explode(_word_range(F.col("start"), F.col("size"), F.col("source_size"), F.col("blocks"))).alias("piece")).select("*", "piece.block", "piece.words").drop("piece")
+    times = schedule(sources).groupBy("n", "block").agg(F.count("*").alias("times"))
     met = pieces.join(times, ["n", "block"], "left")
     # (n, start) names a row: rows of some size never start at the same word of their source
     taken = met.groupBy("n", "start", "k", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
@@ -143,12 +158,12 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def resampled(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them: ``taken / size`` rounded half up, all columns unchanged.
 
-    Only the document at which a source's last round ends is taken in part, and is rounded. Rows that repeat
-    key and size share their rounds evenly by the mean; rows of size 0 are left out. Keys may be null.
+    Only the documents at a source's last block are taken in part, and are rounded. Rows that repeat key and size
+    share their rounds evenly by the mean; rows of size 0 are left out. Keys may be null, columns may have any names; an
+    empty table gives an empty result.
     """
+    k, size, n, times, copy = (free_name(df, x) for x in ("_key", "_size", "_words", "_times", "_copy"))
     mix = mixed(df, key, text, source, **params).where("taken > 0")
-    times = mix.groupBy(F.col(key).alias("_k"), F.col("size").alias("_size")).agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    size = free_name(df, "size")
-    met = df.withColumn(size, F.size(words_of(F.col(f"`{text}`"))).cast("long")).join(times, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col(size) == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"`{c}`") for c in df.columns))
-
+    found = mix.groupBy(F.col(f"`{key}`").alias(k), F.col("size").alias(n)).agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    met = df.withColumn(size, F.size(words_of(F.col(f"`{text}`"))).cast("long")).join(found, F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(size) == F.col(n)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in df.columns))
