@@ -1,15 +1,15 @@
 """SimHash near-dedup with pivot distance tables.
 
 1. ``fingerprints``: 64-bit SimHash of word shingles, one Arrow pass, no shuffle.
-2. ``linked_pairs``: links between distinct fingerprints that differ in at most ``radius`` bits.
+2. ``pivot_distances``: for each distinct fingerprint, once, its Hamming distances to ``PIVOTS`` reference fingerprints.
+3. ``linked_pairs``: links between distinct fingerprints that differ in at most ``radius`` bits.
    Blocking is by the pigeonhole rule: of ``segments`` bit segments at least ``segments - radius`` agree, so
-   each fingerprint goes to one bucket per choice of that many segments. Inside a bucket, the Hamming
-   distances to ``PIVOTS`` reference fingerprints form a distance table; a pair whose coordinates differ by
-   more than the radius anywhere cannot be within it (triangle inequality) and is discarded, and the
-   survivors are verified bit by bit. A bucket returns a spanning forest of its links, never all pairs.
+   each fingerprint goes to one bucket per choice of that many segments. The distances travel with it: a pair whose
+   coordinates differ by more than the radius anywhere cannot be within it (triangle inequality) and is discarded, and
+   the survivors are verified bit by bit. A bucket returns a spanning forest of its links, never all pairs.
    A bucket over ``BUCKET_ROWS`` is dealt into blocks, and each pair of blocks is a task row of its own: no
    cap, no dropped partner, and no task holds more than two blocks of a bucket.
-3. ``components``: connected components by alternating large-star and small-star steps on written tables.
+4. ``components``: connected components by alternating large-star and small-star steps on written tables.
 
 Pivot distances cannot block by themselves: for 64-bit fingerprints two unrelated values pass one pivot's test
 at radius 4 with probability about 0.57, so cells of pivot coordinates overlap nearly everywhere. Hence the
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import SPACE_CHARS, free_name, written
+from tallyweave.llm.shared import Put, free_name, scratch
 
 #: Hash seed of the shingles.
 SEED = 42
@@ -38,31 +38,33 @@ SEED = 42
 PIVOTS = 16
 #: A larger bucket is dealt into blocks of about this many fingerprints.
 BUCKET_ROWS = 2048
+#: Random fingerprints in a bucket, at most, by which the segments are chosen.
+BUCKET_EXPECTED = 64
 #: Up to this many fingerprints a bucket is compared by shifts over the whole batch, above it by itself.
 SHIFTED = 24
 
 
 @dataclass(frozen=True)
 class Rule:
-    """What links: ``block`` fingerprints within ``radius`` bits. ``segments`` sets how finely buckets are cut: more
-    segments mean more rows and smaller buckets."""
+    """What links: fingerprints within ``radius`` bits. ``segments`` sets how finely buckets are cut; None leaves it to
+    the number of fingerprints."""
 
     radius: int
-    segments: int
+    segments: int | None = None
 
     def __post_init__(self):
-        if self.segments <= self.radius:
+        if self.segments is not None and self.segments <= self.radius:
             raise ValueError("segments must exceed radius")
 
+    def cut(self, n: int) -> int:
+        """Segments for ``n`` fingerprints: the fewest by which a bucket has ``BUCKET_EXPECTED`` of random ones at most."""
+        if self.segments is not None:
+            return self.segments
+        return next((s for s in range(self.radius + 1, 4 * self.radius + 2) if n >> (64 * (s - self.radius) // s) <= BUCKET_EXPECTED), 4 * self.radius + 2)
+
 
 #: One fingerprint, four bits.
-CONTRACT = Rule(radius=4, segments=6)
-#: Least Jaccard similarity of the distinct five-word shingles of near copies, as (numerator, denominator).
-SIMILAR = (4, 5)
-SIMILAR_WORDS = 5
-#: Texts, about, whose shingles are counted to find the common ones, and the count from which one is common.
-SAMPLE_TEXTS = 8_000
-COMMON = 3
+CONTRACT = Rule(radius=4)
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
@@ -92,8 +94,10 @@ def fingerprints(df: DataFrame, text: str = "text", shingle_words: int = 4, out:
     """``df`` with a long column ``out``: the SimHash of ``text`` (the same 64 bits, signed).
 
     A-Z are lower-cased, words are what stands between white space, shingles count with repeats; a text of
-    fewer words is one shingle; null, empty and blank texts get 0. All other columns pass unchanged.
+    fewer words is one shingle; null, empty and blank texts get 0. All other columns pass unchanged; if one is
+    named as ``out``, the new one gets an underscore.
     """
+    out = free_name(df, out)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -125,20 +129,18 @@ def pivot_fingerprints(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}", seed=SEED) for i in range(n)], dtype=np.uint64)
 
 
-def _distances(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The distance table: a row for each pivot, a column for each fingerprint."""
-    return np.bitwise_count(pivots[:, None] ^ fps[None, :]).astype(np.int16)
+def pivot_distances(fp: Column, n: int = PIVOTS) -> Column:
+    """The row of the distance table of a fingerprint: its Hamming distance to each reference fingerprint."""
+    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(int(p)))).cast("byte") for p in pivot_fingerprints(n).view(np.int64)))
 
 
-def _verified(fps: dict[str, np.ndarray], table: np.ndarray, a: np.ndarray, b: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (a, b), those that link: pivot by pivot first, then bit by bit."""
+def _verified(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b), those that link: pivot by pivot first (``table`` has a row for each), then bit by bit."""
     for row in table:
-        close = np.abs(row[a] - row[b]) <= rule.radius
+        close = np.abs(row[a] - row[b]) <= radius
         a, b = a[close], b[close]
-    x = fps["block"]
-    close = np.bitwise_count(x[a] ^ x[b]) <= rule.radius
-    a, b = a[close], b[close]
-    return a, b
+    close = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    return a[close], b[close]
 
 
 class _Forest:
@@ -169,77 +171,80 @@ class _Forest:
         self.label = moved[self.label]
 
 
-def bucket_links(fps: dict[str, np.ndarray], rule: Rule, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links in one bucket: (member, first member of its tree) as positions."""
-    table = _distances(fps["block"], pivots)
-    n = len(fps["block"])
+    n = len(fps)
     order = np.argsort(table[0], kind="stable")
     first = table[0][order]
     forest = _Forest(n)
     for start in range(0, n, 256):
         rows = np.arange(start, min(start + 256, n))
         # in the order of the first pivot's distance, partners lie in a window
-        end = np.searchsorted(first, first[rows[-1]] + rule.radius, side="right")
+        end = np.searchsorted(first, first[rows[-1]] + radius, side="right")
         a, b = np.meshgrid(rows, np.arange(start, end), indexing="ij")
         later = a < b
-        forest.merge(*_verified(fps, table, order[a[later]], order[b[later]], rule))
+        forest.merge(*_verified(fps, table, order[a[later]], order[b[later]], radius))
     moved = np.flatnonzero(forest.label != np.arange(n))
     return moved, forest.label[moved]
 
 
-def _links_of_batch(fps: dict[str, np.ndarray], sizes: np.ndarray, rule: Rule, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links_of_batch(fps: np.ndarray, table: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of many buckets that lie behind each other: small ones together by shifts, large ones one by one."""
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.flatnonzero(sizes[owner] <= SHIFTED)
-    small, owner = {k: v[at] for k, v in fps.items()}, owner[at]
-    table = _distances(small["block"], pivots)
+    small, near, owner = fps[at], table[:, at], owner[at]
     found = [(np.empty(0, np.int64),) * 2]
     for shift in range(1, int(sizes[sizes <= SHIFTED].max(initial=0))):
         a = np.flatnonzero(owner[:-shift] == owner[shift:])
-        a, b = _verified(small, table, a, a + shift, rule)
+        a, b = _verified(small, near, a, a + shift, radius)
         found.append((at[a], at[b]))
     for i in np.flatnonzero(sizes > SHIFTED):
-        a, b = bucket_links({k: v[starts[i] : starts[i] + sizes[i]] for k, v in fps.items()}, rule, pivots)
+        inside = slice(starts[i], starts[i] + sizes[i])
+        a, b = bucket_links(fps[inside], table[:, inside], radius)
         found.append((starts[i] + a, starts[i] + b))
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def linked_pairs(distinct: DataFrame, rule: Rule) -> DataFrame:
+def linked_pairs(distinct: DataFrame, rule: Rule, put: Put) -> DataFrame:
     """Links (a, b), a < b, between nodes, that connect what the rule links.
 
-    ``distinct`` has each node once: the long column ``block``. The links are a spanning forest of every bucket, so two nodes are connected by them exactly if they are
-    by the links of the rule.
+    ``distinct`` has each node once: the long column ``block`` and its pivot distances ``away``. The links are a spanning
+    forest of every bucket, so two nodes are connected by them exactly if they are by the links of the rule.
     """
-    keyed = distinct.select(F.struct("block").alias("fp"), F.explode(_keys(F.col("block"), rule.segments, rule.radius)).alias("key")).select("fp", "key.choice", "key.bits")
-    crowds = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    segments = rule.cut(distinct.count())
+    keyed = distinct.select(F.struct("block", "away").alias("fp"), F.explode(_keys(F.col("block"), segments, rule.radius)).alias("key")).select("fp", "key.choice", "key.bits")
+    crowds = put(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS), "crowds")
     blocks = crowds.select("choice", "bits", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = keyed.join(blocks, ["choice", "bits"]).select("choice", "bits", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = F.pmod(F.xxhash64("fp.block"), F.col("blocks")).cast("int")
+    met = keyed.join(blocks, ["choice", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = met.select("choice", "bits", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = dealt.groupBy("choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    pivots = pivot_fingerprints()
+    radius = rule.radius
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             flat = lists.flatten()
-            fps = {"block": np.asarray(flat.field("block")).view(np.uint64)}
-            a, b = _links_of_batch(fps, np.asarray(lists.value_lengths()), rule, pivots)
-            names = fps["block"].view(np.int64)
+            fps = np.asarray(flat.field("block")).view(np.uint64)
+            table = np.ascontiguousarray(np.asarray(flat.field("away").flatten()).reshape(len(fps), -1).T)
+            a, b = _links_of_batch(fps, table, np.asarray(lists.value_lengths()), radius)
+            names = fps.view(np.int64)
             a, b = names[a], names[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return rows.mapInArrow(links, "a long, b long").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, put: Put) -> DataFrame:
     """(node_, label) of every node of ``pairs`` (a, b): label is the smallest node of its component.
 
     Alternating star steps: each round, neighbours above a node are moved to its smallest neighbour
     (large star), then those below it (small star); the rounds are logarithmic in the longest chain. Every
-    round is a written table.
+    round is a written table. What a join meets is written before it, so that Spark can split the rows of a node with very
+    many neighbours.
     """
-    edges = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
+    edges = put(pairs.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
     seen = None
     while True:
         count, digest = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
@@ -247,159 +252,25 @@ def components(pairs: DataFrame) -> DataFrame:
             break
         seen = (count, digest)
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = put(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        low = put(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         small = large.join(low, "hi").select(F.explode(F.array(F.struct("lo", "m"), F.struct(F.col("hi").alias("lo"), "m"))).alias("e")).select(F.col("e.lo").alias("hi"), F.col("e.m").alias("lo"))
-        edges = written(small.where("hi <> lo").distinct(), "stars")
+        edges = put(small.where("hi <> lo").distinct(), "stars")
     return edges.select(F.col("hi").alias("node_"), F.col("lo").alias("label")).unionAll(edges.select(F.col("lo").alias("node_"), F.col("lo").alias("label"))).distinct()
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct five-word shingles of a text as sorted digests."""
-    return np.unique(shingle_hashes(text, SIMILAR_WORDS))
-
-
-def ranks(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The counts of digests among the common ones, 0 for others."""
-    if not len(common):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    return np.where(common[at] == hashes, counts[at], 0)
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first digests of a set in the order of (count among the common ones, digest), so many that two sets of
-    the least similarity have one of them in common.
-
-    Any order that is the same for all texts will do, so what is taken for common affects the size of blocks only.
-    """
-    most = len(hashes) - -(-len(hashes) * SIMILAR[0] // SIMILAR[1]) + 1
-    return hashes[np.lexsort((hashes, ranks(hashes, common, counts)))[:most]]
-
-
-def most_shared(x: np.ndarray, n: int, y: np.ndarray, m: int, common: np.ndarray, counts: np.ndarray) -> int:
-    """A bound of what two sets of ``n`` and ``m`` digests share, from their prefixes: up to the end of the one that
-    ends first all that is shared is seen, behind it at most the rest of either set."""
-    rx, ry = ranks(x, common, counts), ranks(y, common, counts)
-    rank, last = min((rx[-1], x[-1]), (ry[-1], y[-1]))
-    seen = [int(np.count_nonzero((r < rank) | ((r == rank) & (h <= last)))) for h, r in ((x, rx), (y, ry))]
-    return len(np.intersect1d(x, y, assume_unique=True)) + min(n - seen[0], m - seen[1])
-
-
-def _alike(shared: int, n: int, m: int) -> bool:
-    return shared * SIMILAR[1] >= SIMILAR[0] * (n + m - shared)
-
-
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    if not len(column):
-        return []
-    ends = np.cumsum(np.asarray(column.value_lengths()))
-    return np.split(np.asarray(column.flatten()).view(np.uint64), ends[:-1])
-
-
-def _sets(text: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in texts])
-
-    return of(text)
-
-
-def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted digests, counts) of the shingles that ``COMMON`` or more of a sample of the texts hold."""
-    one_in = max(1, round(texts.count() / SAMPLE_TEXTS))
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).dropDuplicates(["node"])
-    rows = sample.select(F.explode(_sets(F.col("t"))).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
-    found = rows.toPandas()
-    common = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    return common[order], found["count"].to_numpy(np.int64)[order]
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, marked: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The pairs (a, b) of texts whose shingle sets reach the least similarity: by the bound of their prefixes first,
-    so that whole sets are made only for texts that may have a partner."""
-    of = lambda rows, side: rows.select(*(F.col(c).alias({"node": side}.get(c, f"{side}_{c}")) for c in rows.columns))
-
-    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (_lists(batch.column("a_first")), batch.column("a_n").to_pylist(), _lists(batch.column("b_first")), batch.column("b_n").to_pylist())
-            keep = [_alike(most_shared(x, n, y, m, common, counts), n, m) for x, n, y, m in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(_lists(batch.column("a_set")), _lists(batch.column("b_set")), strict=True)
-            keep = [_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in both]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    first = pairs.join(of(marked, "a"), "a").join(of(marked, "b"), "b").select("a", "b", "a_n", "a_first", "b_n", "b_first")
-    close = written(first.mapInArrow(may_be, "a long, b long"), "close")
-    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", _sets(F.col("t")).alias("set")), "sets")
-    return written(close.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(are, "a long, b long"), "similar")
-
-
-def similar_links(texts: DataFrame) -> DataFrame:
-    """Links (a, b), a < b, between ``node``s that connect all whose texts ``t`` reach the least similarity, and no others.
-
-    Candidates are exact (prefix filter): similar sets share one of the first digests of either. Every text that
-    shares one is first held against the least text of that digest; what these links do not connect yet is
-    compared pair by pair. Each link is verified by the exact similarity. Rows of a node have the same text.
-    """
-    common, counts = _common_shingles(texts)
-
-    @F.pandas_udf("struct<n: int, first: array<long>>")
-    def marks(column: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in column]
-        return pd.DataFrame({"n": [len(x) for x in sets], "first": [prefix(x, common, counts).view(np.int64) for x in sets]})
-
-    marked = written(texts.where("t <> ''").select("node", marks("t").alias("m")).select("node", "m.*").dropDuplicates(["node"]), "prefixes")
-    posts = marked.select(F.explode("first").alias("h"), "node", "n").repartition("h")
-    leads = posts.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node < last").select("h", "lead")
-    shared = written(posts.join(leads, "h"), "shared")
-    close = lambda x, y: F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]
-    led = written(shared.where((F.col("node") != F.col("lead.node")) & close(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    links = _similar(led, texts, marked, common, counts)
-    labels = components(links)
-    at = shared.join(labels, shared.node == labels.node_, "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
-    open_ = written(at.join(mixed, "h"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & close(F.col("x.n"), F.col("y.n"))
-    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
-    return links.unionAll(_similar(rest, texts, marked, common, counts))
-
-
-def _ordered(key: list[str]) -> Column:
+def ordered(key: list[str]) -> Column:
     """Key columns as a struct that orders by them, nulls last."""
     return F.struct(*(f(F.col(f"`{k}`")).alias(f"{k}_{n}") for k in key for n, f in (("none", F.isnull), ("value", lambda c: c))))
 
 
-def _grouped(marked: DataFrame, key: list[str], node: str, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links)
-    at = distinct.join(labels, distinct[node] == labels.node_, "left").select(F.col(node).alias("fp"), F.coalesce("label", node).alias("label"), "least")
-    of_label = at.groupBy("label").agg(F.min("least").alias("group"))
-    return marked.select(*key, F.col(node).alias("fp")).join(at.join(of_label, "label").select("fp", "group"), "fp")
-
-
-def group_ids(df: DataFrame, key: list[str], text: str, rule: Rule, shingle_words: int = 4) -> DataFrame:
-    """(key columns, fp, group): ``group`` is the least key of the row's component, as a struct.
-
-    Keys order by their columns, nulls last. Rows with equal keys stay separate rows.
-    """
-    marked = written(fingerprints(df.select(*key, text), text, shingle_words, "block").select(*key, "block"), "fingerprints")
-    distinct = marked.groupBy("block").agg(F.min(_ordered(key)).alias("least"))
-    return _grouped(marked, key, "block", distinct, linked_pairs(distinct.select("block"), rule))
-
-
-def similar_groups(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """As ``group_ids``, for texts whose shingle sets reach the least similarity; texts without words are alike."""
-    bare = F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SPACE_CHARS))
-    named = df.select(*key, F.xxhash64(bare).alias("node"), bare.alias("t"))
-    marked = written(named.select(*key, "node"), "texts")
-    return _grouped(marked, key, "node", marked.groupBy("node").agg(F.min(_ordered(key)).alias("least")), similar_links(named.select("node", "t")))
+def grouped(distinct: DataFrame, links: DataFrame, put: Put) -> DataFrame:
+    """``distinct`` (node, least) with ``group``: the smallest ``least`` over all nodes that links (a, b) connect with it."""
+    labels = put(components(links, put), "labels")
+    at = put(distinct.join(labels, distinct.node == labels.node_, "left").select("node", F.coalesce("label", "node").alias("label"), "least"), "labelled")
+    of_label = put(at.groupBy("label").agg(F.min("least").alias("group")), "groups")
+    return at.join(of_label, "label").select("node", "least", "group")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 4, rule: Rule = CONTRACT) -> DataFrame:
@@ -410,24 +281,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     linked like any other. Repeated rows are kept as they are; an empty table gives an empty result; other
     columns of ``df`` are not read.
     """
-    rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    found = group_ids(rows, ["k"], "t", rule, shingle_words)
-    return found.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("group.k_value").alias("component_id"))
-
-
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without near duplicates: the row with the smallest key of each component stays.
-
-    Rows without a key order after all others, by a digest of their text. Of rows that repeat a key, the one
-    with the smallest text digest stays, and of exact repeats one. All columns of ``df`` are returned.
-    """
-    tie = free_name(df, "tie")
-    digest = F.xxhash64(F.col(f"`{text}`"))
-    rows = df.select(F.col(f"`{key}`").alias("k"), digest.alias("d"), F.col(f"`{text}`").alias("t"))
-    own = F.col("k").eqNullSafe(F.col("group.k_value")) & (F.col("d") == F.col("group.d_value"))
-    keep = similar_groups(rows, ["k", "d"], "t").where(own).groupBy(F.col("k").alias("keep_k"), F.col("d").alias("keep_d")).count()
-    keep = written(keep, "keep")
-    kept = df.withColumn(tie, digest).join(keep, F.col(f"`{key}`").eqNullSafe(F.col("keep_k")) & (F.col(tie) == F.col("keep_d")), "left_semi")
-    if keep.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([key, tie])
-    return kept.drop(tie)
+    with scratch(df.sparkSession) as keep:
+        marked = keep(fingerprints(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")), "t", shingle_words, "node").select("k", "node"), "fingerprints")
+        with scratch(df.sparkSession) as put:
+            distinct = put(marked.groupBy("node").agg(F.min(ordered(["k"])).alias("least")).select("*", pivot_distances(F.col("node")).alias("away")), "distinct")
+            links = linked_pairs(distinct.select(F.col("node").alias("block"), "away"), rule, put)
+            groups = keep(grouped(distinct.select("node", "least"), links, put).select("node", F.col("group.k_value").alias("component_id")), "components")
+        keep.stay()
+    return marked.join(groups, "node").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")

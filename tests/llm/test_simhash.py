@@ -4,10 +4,13 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tallyweave.llm import similar as N
 from tallyweave.llm import simhash as S
+from tallyweave.llm.shared import Put
 
 
 def brute_fingerprint(text, k):
@@ -46,7 +49,12 @@ def test_fingerprints_match_brute_force(spark):
     assert {r.component_id for r in got if r.doc_id in (0, 1, 2)} == {0}
 
 
-def test_components_match_brute_force(spark):
+def blocks(spark, fps):
+    return spark.createDataFrame([(x,) for x in fps], "block long").select("block", S.pivot_distances(F.col("block")).alias("away"))
+
+
+@pytest.mark.parametrize("segments", [None, 5, 7])
+def test_components_match_brute_force(spark, segments):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(150)]
     for _ in range(500):  # chains of close fingerprints
@@ -55,8 +63,8 @@ def test_components_match_brute_force(spark):
             x ^= 1 << rng.randrange(64)
         fps.append(x)
     signed = [f - (1 << 64) if f >> 63 else f for f in sorted(set(fps))]
-    df = spark.createDataFrame([(x,) for x in signed], "block long")
-    labels = {r.node_: r.label for r in S.components(S.linked_pairs(df, S.CONTRACT)).collect()}
+    df, put = blocks(spark, signed), Put(spark)
+    labels = {r.node_: r.label for r in S.components(S.linked_pairs(df, S.Rule(4, segments), put), put).collect()}
     want = brute_components([x & (1 << 64) - 1 for x in signed], 4)
     groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
     got = {x & (1 << 64) - 1: labels.get(x, x) for x in signed}
@@ -68,8 +76,8 @@ def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch):
     rng = random.Random(1)
     centre = rng.getrandbits(63)
     fps = sorted({centre ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for _ in range(300)})
-    df = spark.createDataFrame([(x,) for x in fps], "block long")
-    labels = {r.label for r in S.components(S.linked_pairs(df, S.CONTRACT)).collect()}
+    put = Put(spark)
+    labels = {r.label for r in S.components(S.linked_pairs(blocks(spark, fps), S.CONTRACT, put), put).collect()}
     assert labels == {min(fps)}
 
 
@@ -77,16 +85,17 @@ def test_bucket_links_by_pivots():
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 2**63, dtype=np.uint64)
     fps = np.unique(centre ^ (np.uint64(1) << rng.integers(0, 60, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 400, dtype=np.uint64)))
-    a, b = S.bucket_links({"block": fps}, S.CONTRACT, S.pivot_fingerprints())
+    table = np.bitwise_count(S.pivot_fingerprints()[:, None] ^ fps[None, :]).astype(np.int8)
+    a, b = S.bucket_links(fps, table, 4)
     assert len(a) == len(fps) - len(set(brute_components(fps.tolist(), 4).values())) and len(b) == len(a)
 
 
 def test_ids_null_repeated_and_columns_clashing(spark):
     rows = [(3, "x y z w"), (3, "x y z w"), (None, "x y z w"), (None, "lone text here now"), (7, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("e").alias("tie"), F.lit(1).alias("node"), F.lit(2).alias("block"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("e").alias("tie"), F.lit(1).alias("node"), F.lit(2).alias("block"), F.lit(3).alias("_key"), F.lit(4).alias("_OWN"), F.lit(5).alias("keep_k"))
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in S.near_duplicates(df).collect() if r.component_id is not None)
     assert got == [(False, 3, 3), (False, 3, 3), (False, 7, 7), (True, 0, 3)]
-    kept = S.keep_one(df)
+    kept = N.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect() if r.text) == [(-1, "lone text here now"), (3, "x y z w")]
     assert kept.count() == 3
@@ -94,7 +103,7 @@ def test_ids_null_repeated_and_columns_clashing(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert S.near_duplicates(df).count() == 0 and S.keep_one(df).count() == 0
+    assert S.near_duplicates(df).count() == 0 and N.keep_one(df).count() == 0
 
 
 def test_near_copies_go_and_clean_texts_stay(spark):
@@ -107,13 +116,16 @@ def test_near_copies_go_and_clean_texts_stay(spark):
         for _ in range(3):
             w[rng.randrange(300)] = word()
         rows.append((1000 + i, " ".join(w)))
-    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(60)) <= kept  # no clean text goes
-    assert len(kept) - 60 <= 3  # blocking on word pairs misses a few of a hundred similar pairs
+    assert len(kept) == 60  # and every near copy does
 
 
-def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
-    monkeypatch.setattr(S, "SAMPLE_TEXTS", 60)
+@pytest.mark.parametrize("group_rows", [1, 3, 1000])
+def test_groups_are_those_of_exact_similarity(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(N, "SAMPLE_TEXTS", 60)
+    monkeypatch.setattr(N, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 4)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
     passage, texts = [word() for _ in range(30)], []
@@ -138,5 +150,23 @@ def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
     assert sum(0.8 <= a < 0.85 for a in at) > 5 and sum(0.7 < a < 0.8 for a in at) > 5
     first = {v: label.index(v) for v in label}
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
-    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(first.values())
+
+
+def test_fingerprints_bound_the_difference():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(300, 400)], rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)])) for _ in range(60)]
+    bits, n = np.stack([N.parity(x) for x in sets]), np.array([len(x) for x in sets])
+    away = np.stack([N.distances(N.references(), x) for x in bits]).astype(np.int32)
+    a, b = np.triu_indices(60, 1)
+    passed = set(N.within(bits, away, n, a, b)[0].tolist())
+    alike = {i for i, (x, y) in enumerate(zip(a, b, strict=True)) if N.alike(len(np.intersect1d(sets[x], sets[y])), n[x], n[y])}
+    assert 50 < len(alike) and alike <= passed and len(passed) < len(a)
+    long = [np.unique(np.concatenate([x + np.uint64(i << 40) for i in range(3)])) for x in sets]
+    wide = [N.wide_parity(x) for x in long]
+    assert len({len(x) for x in wide}) > 1
+    for x, y in zip(a, b, strict=True):
+        if N.alike(len(np.intersect1d(long[x], long[y])), len(long[x]), len(long[y])):
+            assert N.wide_within(wide[x], len(long[x]), wide[y], len(long[y]))
