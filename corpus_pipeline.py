@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, linededup, mixing, quality, simhash
+from tallyweave.llm import bpe, linededup, mixing, quality, similar
 from tallyweave.llm.queries import vocabulary_path
 from tallyweave.llm.shared import table, written
 
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 #: Documents are less alike than pages of a web site: a line in over this share of comparable documents is boilerplate.
 LINE_RATIO = 0.005
-#: Fewer documents than this across the sources of a language may as well be copies of each other.
-LINE_MIN_DOCS = 20
+#: Fewer documents than this, of a source and across the sources of a language, may as well be near copies of each other.
+SOURCE_MIN_DOCS, LINE_MIN_DOCS = 5, 20
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     every document stays, with its new number of characters."""
     columns = docs.columns
     cell = F.to_json(F.struct("source", "lang"))
-    cleaned = linededup.deduplicated(docs, cell, "text", LINE_RATIO).select(*columns)
-    cleaned = linededup.deduplicated(cleaned, F.col("lang"), "text", LINE_RATIO, LINE_MIN_DOCS)
+    cleaned = linededup.deduplicated(docs, cell, "text", LINE_RATIO, SOURCE_MIN_DOCS, copies_once=True).select(*columns)
+    cleaned = linededup.deduplicated(cleaned, F.col("lang"), "text", LINE_RATIO, LINE_MIN_DOCS, copies_once=True)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies stays: five-word shingles, similarity 0.8 or more, smallest doc_id."""
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
