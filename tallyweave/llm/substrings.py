@@ -1,8 +1,8 @@
 """Substring dedup by line and sentence hashing.
 
-Each text is cut into units by its content alone, so that a passage falls into the same units wherever it is set: lines, in
-a line sentences, and in a sentence of over ``LONG_WORDS`` words what ends with a word whose digest says so. Units are
-normalised and hashed; digests are grouped globally; the earliest ranked occurrence stays. What repeats one is
+Each text is cut into units by its content alone, so that a passage falls into the same units wherever it is set, from its
+first cut on: lines, in a line sentences, and in a sentence of over ``LONG_WORDS`` words what ends with a word whose digest
+says so. Lines and sentences of fewer than ``LONE_WORDS`` words go together up to one whose digest says so. Units are normalised and hashed; digests are grouped globally; the earliest ranked occurrence stays. What repeats one is
 removed from its text, with its original offsets kept, if the units that repeat behind each other have ``RUN_WORDS`` words or
 more: a short sentence or heading that two texts share is no passage.
 
@@ -29,6 +29,8 @@ from tallyweave.llm.shared import Put, free_name, scratch, written
 RUN_WORDS = 25
 #: A sentence of more words is cut behind words of which one in ``CUT`` is chosen.
 LONG_WORDS, CUT = 24, 8
+#: A line or sentence of so many words is a unit by itself; of shorter ones one in ``CLOSING`` ends a unit.
+LONE_WORDS, CLOSING = 8, 2
 #: Bytes that count as a word at least, for writing without spaces.
 WORD_BYTES = 9
 
@@ -46,23 +48,43 @@ def n_words(unit: str) -> int:
     return max(unit.count(" ") + 1, len(unit.encode()) // WORD_BYTES)
 
 
+def pieces(text: str) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """(start, end, normalised text, whether it is long, whether a unit ends with it) of lines, sentences and parts of long sentences."""
+    for piece in _PIECE.finditer(text):
+        raw = piece.group()
+        whole = normal(raw)
+        if not whole:
+            continue
+        start = piece.start() + len(raw) - len(raw.lstrip())
+        end = piece.start() + len(raw.rstrip())
+        words = whole.count(" ") + 1
+        if words <= LONG_WORDS:
+            yield start, end, whole, words >= LONE_WORDS, crc32(whole.encode()) % CLOSING == 0
+            continue
+        for word in _WORD.finditer(text, start, end):
+            if crc32(normal(word.group()).encode()) % CUT == 0 and word.end() < end:
+                part = text[start : word.end()]
+                yield start, start + len(part.rstrip()), normal(part), True, True
+                start = word.end()
+        yield start, end, normal(text[start:end]), True, True
+
+
 def units(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, normalised text) of the units, in order, without the white space around; offsets in code points."""
-    for piece in _PIECE.finditer(text):
-        start, end = piece.span()
-        whole = normal(piece.group())
-        if whole.count(" ") < LONG_WORDS:
-            spans = [(start, end)]
-        else:
-            cuts = [w.end() for w in _WORD.finditer(text, start, end) if crc32(normal(w.group()).encode()) % CUT == 0]
-            ends = [*(c for c in cuts if c < end), end]
-            spans = list(zip([start, *ends], ends))
-        for a, b in spans:
-            raw = text[a:b]
-            bare = raw.strip()
-            if bare:
-                a += len(raw) - len(raw.lstrip())
-                yield a, a + len(bare), whole if len(spans) == 1 else normal(bare)
+    start, end, held = 0, 0, []
+    for a, b, whole, long, closes in pieces(text):
+        if held and long:
+            yield start, end, " ".join(held)
+            held.clear()
+        if not held:
+            start = a
+        held.append(whole)
+        end = b
+        if long or closes:
+            yield start, end, " ".join(held)
+            held.clear()
+    if held:
+        yield start, end, " ".join(held)
 
 
 def unit_rows(df: DataFrame, text: str, out: str) -> DataFrame:

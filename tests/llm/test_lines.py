@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,21 @@ def test_visible_lines(spark):
 
 
 def brute_units(text):
-    """Lines and sentences of a text in which no sentence is long, by hand."""
+    """Lines and sentences of a text in which no sentence is long, by hand; short ones go with the next, by digest."""
+    held = []
+    for s, e, u in [*brute_pieces(text), (0, 0, None)]:
+        long = u is not None and len(u.split()) >= 8
+        if held and (u is None or long):
+            yield held[0][0], held[-1][1], " ".join(x[2] for x in held)
+            held = []
+        if u is not None:
+            held.append((s, e, u))
+            if long or crc32(u.encode()) % 2 == 0:
+                yield held[0][0], held[-1][1], " ".join(x[2] for x in held)
+                held = []
+
+
+def brute_pieces(text):
     at = 0
     for line in text.split("\n"):
         start = at
@@ -129,7 +144,7 @@ def test_passages_go_wherever_they_are_set(spark):
         inside = set(w.strip(".") for w in passages.get(key, []))
         caught += sum(n for w, n in gone.items() if w.strip(".") in inside) >= 30
         assert sum(n for w, n in gone.items() if w.strip(".") not in inside) <= 1, text
-    assert caught >= 0.95 * len(passages)
+    assert caught >= 0.9 * len(passages), caught
     assert got[200].text == rows[-2][1] and got[201].text == "別の文。"
 
 
