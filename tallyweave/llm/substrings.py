@@ -34,7 +34,7 @@ LONE_WORDS, CLOSING = 8, 2
 #: Bytes that count as a word at least, for writing without spaces.
 WORD_BYTES = 9
 
-_PIECE = re.compile(r"[^\n]*?(?:[.!?…]+[\"'»”)\]]*(?=[ \t]|\n|$)|[。！？]+)[ \t]*|[^\n]+")
+_PIECE = re.compile(r"(?:[^\n.!?…。！？]++|[.!?…]++[\"'»”)\]]*+(?![ \t\n]|\Z))*+(?:[.!?…]++[\"'»”)\]]*+|[。！？]++)?+[ \t]*+")
 _WORD = re.compile(r"\S+\s*")
 
 
