@@ -1,7 +1,6 @@
 """Text standardisation as column expressions.
 
-Patterns carry ``(?U)`` so that classes are Unicode-aware. Case folding is ``lower``: it differs from full case folding for a few
-letters such as the German sharp s, which keys of ``[a-z0-9]`` drop anyway.
+Patterns carry ``(?U)`` so that classes are Unicode-aware. Case folding is ``lower`` after spelling out the letters of ``FOLDED``.
 """
 
 from __future__ import annotations
@@ -22,6 +21,12 @@ PUBLISHER_WORDS = ("book", "books", "comic", "comics", "entertainment", "inc", "
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx")
 
+# Letters whose full case folding has a letter of a-z and differs from lower case.
+FOLDED = {
+    "\u00df": "ss", "\u0149": "\u02bcn", "\u017f": "s", "\u01f0": "j\u030c", "\u1e96": "h\u0331", "\u1e97": "t\u0308", "\u1e98": "w\u030a", "\u1e99": "y\u030a", "\u1e9a": "a\u02be", "\u1e9e": "ss",
+    "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st",
+}
+
 TEXTS = "array<string>"
 
 
@@ -49,14 +54,20 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def casefold(c: Column) -> Column:
+    """Lower case, with sharp s, ligatures and the like spelled out; texts without such letters cost one test."""
+    spelled = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), FOLDED.items(), c)
+    return F.lower(F.when(c.rlike(f"[{''.join(FOLDED)}]"), spelled).otherwise(c))
+
+
 def fold(c: Column) -> Column:
-    """Lower case, white space collapsed."""
-    return F.lower(collapse(c))
+    """Case folded, white space collapsed."""
+    return casefold(collapse(c))
 
 
 def title_key(c: Column) -> Column:
-    """Lower case, everything but a-z and 0-9 as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    """Case folded, everything but a-z and 0-9 as one space, none at the ends."""
+    return F.trim(F.regexp_replace(casefold(c), "[^a-z0-9]+", " "))
 
 
 def run_group_key(series: Column) -> Column:

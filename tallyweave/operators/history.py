@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyweave.operators.numbering import numbered
+
 KEY = ["source_fingerprint", "media_signature"]
 ACCEPTING = ("accepted", "work_accepted", "manual_identity")
 CLOSED = (*ACCEPTING, "rejected", "unresolved", "skipped")
@@ -74,10 +76,10 @@ def append_decisions(history: DataFrame, new: DataFrame) -> tuple[DataFrame, Dat
     judged = met.withColumn("reason", reason).withColumn("decision_type", F.when((F.col("decision_type") == "accepted") & (F.col("record_type") == "book_work"), "work_accepted").otherwise(F.col("decision_type")))
     good = judged.where("reason is null")
     top = F.broadcast(history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
-    numbered = good.withColumn("_n", F.row_number().over(Window.orderBy("created_at", *KEY))).join(top).withColumn("id", (F.col("_top") + F.col("_n")).cast("bigint")).drop("_n", "_top")
+    placed = numbered(good, ["created_at", *KEY], "_n").join(top).withColumn("id", (F.col("_top") + F.col("_n")).cast("bigint")).drop("_n", "_top")
     heads = history.groupBy(*KEY).agg(F.max("id").alias("_head"))
     chain = Window.partitionBy(*KEY).orderBy("id")
-    linked = numbered.join(heads, KEY, "left").withColumn("supersedes_id", F.coalesce(F.lag("id").over(chain), F.col("_head")))
+    linked = placed.join(heads, KEY, "left").withColumn("supersedes_id", F.coalesce(F.lag("id").over(chain), F.col("_head")))
     return linked.select(*history.columns), judged.where("reason is not null").select(*new.columns, "reason")
 
 
@@ -89,7 +91,7 @@ def append_run_choices(history: DataFrame, new: DataFrame) -> tuple[DataFrame, D
     reason = F.when(~F.col("decision_type").isin("selected", "manual", "cleared"), "unknown choice").when((F.col("decision_type") != "cleared") & (F.coalesce("provider_run_id", F.lit("")) == ""), "a run id is required").when((F.col("decision_type") == "cleared") & ~F.coalesce("_active", F.lit(False)), "no choice to clear")
     judged = met.withColumn("reason", reason)
     top = F.broadcast(history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
-    good = judged.where("reason is null").withColumn("_n", F.row_number().over(Window.orderBy("created_at", *keys))).join(top)
+    good = numbered(judged.where("reason is null"), ["created_at", *keys], "_n").join(top)
     good = good.withColumn("id", (F.col("_top") + F.col("_n")).cast("bigint")).withColumn("supersedes_id", F.coalesce(F.lag("id").over(Window.partitionBy(*keys).orderBy("id")), F.col("_head")))
     return good.select(*history.columns), judged.where("reason is not null").select(*new.columns, "reason")
 
@@ -209,7 +211,7 @@ def incompatible_with_run(sources: DataFrame, decisions: DataFrame, choices: Dat
 
 # ---- journal
 
-#: From each state, the states that may follow.
+# From each state of the journal, the states that may follow.
 TRANSITIONS = {
     "pending": ("preflight_ok", "stale", "failed", "recovery_required"),
     "preflight_ok": ("staging", "stale", "recovery_required"),

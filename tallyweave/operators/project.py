@@ -13,6 +13,7 @@ from tallyweave.functions.sequence import render_sequence
 from tallyweave.operators.golden import planning_blocks
 
 FIELDS = ("title", "series", "series_or_title", "number", "year", "author", "format")
+# Names of formats and credits in written metadata.
 FORMATS = {"annual": "Annual", "special": "Special", "one-shot": "One-Shot", "trade": "Trade Paperback", "collected-edition": "Trade Paperback", "omnibus": "Omnibus", "graphic-novel": "Graphic Novel"}
 CREDIT_FIELDS = {"writers": "Writer", "pencillers": "Penciller", "inkers": "Inker", "colorists": "Colorist", "letterers": "Letterer", "cover_artists": "CoverArtist", "editors": "Editor", "translators": "Translator"}
 

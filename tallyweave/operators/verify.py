@@ -136,6 +136,7 @@ def recovery_inspection(items: DataFrame, inventory: DataFrame, invalid: DataFra
     rows = reduce(lambda df, x: _hash_of(df, inventory, *x), (("destination_path", "_d"), ("source_path", "_s"), ("staging_path", "_g")), items)
     expected = F.coalesce(t.filled(F.col("destination_hash")), t.filled(F.col("staged_hash")))
     there, good, state = F.col("_d").isNotNull(), F.coalesce(F.col("_d") == expected, F.lit(False)), F.col("state")
+    # fixed values: the texts of the actions
     action = (
         F.when(state == "complete", "none; item is complete")
         .when((state == "committing") & good, "recognize verified destination commit, then resume lifecycle")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import names, text
 from tallyweave.functions.sequence import render_sequence, sequence_struct
-from tallyweave.operators import candidates, compare, golden, history, plan, project, rank, report, verify
+from tallyweave.operators import candidates, compare, golden, history, numbering, plan, project, rank, report, verify
 from tallyweave.plans import bindings as b
 from tallyweave.sources import feeds, inventory, xml
 
@@ -150,11 +150,9 @@ def isbn_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_name, row_number() OVER (ORDER BY n) AS place FROM (SELECT p_name, min(p_partkey) AS n FROM part GROUP BY p_name)""")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     firsts = b.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("n"))
     key = text.natural_sort_key(F.concat(F.lit("page"), F.col("n").cast("string")))
-    return firsts.select("p_name", F.row_number().over(Window.orderBy(key)).cast("bigint").alias("place"))
+    return numbering.numbered(firsts.select("p_name", key.alias("key")), ["key"], "place").select("p_name", F.col("place").cast("bigint"))
 
 
 # ---- feeds

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tallyweave.functions.sequence import sequence_struct
-from tallyweave.operators import golden, history, plan, project
+from tallyweave.operators import golden, history, numbering, plan, project
 from tallyweave.schemas import CANDIDATES, DECISIONS
 from test_linkage import ISSUE, table
 
@@ -159,3 +159,12 @@ def test_plan_gates(spark):
     assert refused[1] == ["stale precondition"]
 
 
+def test_numbering_is_the_order_of_all_rows(spark):
+    rows = [(i * 7919 % 1000, None if i % 50 == 0 else f"k{i % 13}", i) for i in range(2000)] + [(5, "k1", i) for i in range(2000, 2600)]
+    df = spark.createDataFrame(rows, "a int, b string, c int")
+    got = {r.c: r.place for r in numbering.numbered(df, ["a", "b", "c"], "place").collect()}
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+    assert got == {r[2]: i for i, r in enumerate(want, 1)}
+    assert numbering.numbered(df.where("a < 0"), ["a"], "place").count() == 0
+    tied = numbering.numbered(spark.createDataFrame([(1,)] * 5, "a int"), ["a"], "place")
+    assert sorted(r.place for r in tied.collect()) == [1, 2, 3, 4, 5]
