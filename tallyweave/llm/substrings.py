@@ -20,7 +20,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import Put, free_name, scratch, written
@@ -59,7 +59,7 @@ def pieces(text: str) -> Iterator[tuple[int, int, str, bool, bool]]:
         end = piece.start() + len(raw.rstrip())
         words = whole.count(" ") + 1
         if words <= LONG_WORDS:
-            yield start, end, whole, words >= LONE_WORDS, crc32(whole.encode()) % CLOSING == 0
+            yield start, end, whole, words >= LONE_WORDS, words < LONE_WORDS and crc32(whole.encode()) % CLOSING == 0
             continue
         for word in _WORD.finditer(text, start, end):
             if crc32(normal(word.group()).encode()) % CUT == 0 and word.end() < end:
@@ -137,6 +137,21 @@ def repeats(df: DataFrame, put: Put, key: str = "doc_id", text: str = "text", ru
     return flagged.select("k", "d", spans.alias("spans")).where(F.size("spans") > 0)
 
 
+def without(text: Column, starts: Column, ends: Column) -> Column:
+    """``text`` without the stretches from ``starts`` to ``ends``, in order; null for null. A native substring would count from the
+    start of the text for every stretch."""
+
+    @F.arrow_udf("string")
+    def of(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        rows = []
+        for t, b, e in zip(texts, starts, ends, strict=True):
+            whole = t.as_py()
+            rows.append(whole and "".join(whole[x:y] for x, y in zip([0, *e.as_py()], [*b.as_py(), None], strict=True)))
+        return pa.array(rows, pa.string())
+
+    return of(text, starts, ends)
+
+
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", out: str | None = None, spans: str = "removed", run_words: int = RUN_WORDS) -> DataFrame:
     """``df`` with repeated units cut out of ``text`` (or into ``out``), and the removed spans in an array column.
 
@@ -152,10 +167,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", out: st
     met = df.withColumn(digest, F.xxhash64(F.col(f"`{text}`"))).join(found, F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(digest) == F.col(d)), "left")
     first_kind = dict(found.dtypes)[spans]
     cuts = F.coalesce(F.col(spans), F.array().cast(first_kind))
-    size = F.size(cuts)
-    # kept pieces lie between the end of one span and the start of the next
-    begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["end"]))
-    ends = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.length(F.col(f"`{text}`"))))
-    pieces = F.zip_with(begins, ends, lambda b, e: F.substring(F.col(f"`{text}`"), b + 1, e - b))
-    cleaned = F.when(size > 0, F.array_join(pieces, "")).otherwise(F.col(f"`{text}`"))
+    some = F.size(cuts) > 0
+    # texts without spans do not go to Python
+    rest = without(F.when(some, F.col(f"`{text}`")), F.transform(cuts, lambda s: s["start"]), F.transform(cuts, lambda s: s["end"]))
+    cleaned = F.when(some, rest).otherwise(F.col(f"`{text}`"))
     return met.select(*(F.col(f"`{c}`") for c in df.columns if c != out), cleaned.alias(out), cuts.alias(spans))
