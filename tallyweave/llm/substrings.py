@@ -6,8 +6,8 @@ says so. Lines and sentences of fewer than ``LONE_WORDS`` words go together up t
 removed from its text, with its original offsets kept, if the units that repeat behind each other have ``RUN_WORDS`` words or
 more: a short sentence or heading that two texts share is no passage.
 
-Only digests, ranks and offsets are shuffled, in one aggregation with partial sums and one join; the texts meet the
-removed spans by row digest.
+Only digests, ranks and offsets are shuffled: digests are counted with partial sums, then only units that repeat are ranked; the
+texts meet the removed spans by row digest.
 """
 
 from __future__ import annotations
@@ -116,10 +116,13 @@ def repeats(df: DataFrame, put: Put, key: str = "doc_id", text: str = "text", ru
     named = df.select(F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("d"), F.col(f"`{text}`").alias("t"))
     cut = unit_rows(named, "t", "units").select("k", "d", "units").where(F.size("units") > 0)
     rows = put(cut.select("k", "d", F.posexplode("units").alias("i", "u")).select("k", "d", "i", "u.*"), "units")
+    # digests are counted by themselves: two longs and a count aggregate in a hash table, and most units stand once and go here;
+    # written, so that Spark sees its size and can split the rows of a very common unit in the joins
+    common = put(rows.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h", "h2"), "common")
+    again = put(rows.join(common, ["h", "h2"]), "again")
     rank = F.struct(F.isnull("k").alias("none"), F.col("k").alias("k"), F.col("d").alias("d"), F.col("i").alias("i"), F.col("start").alias("start"))
-    # written, so that Spark can split the rows of a very common unit in the join
-    firsts = put(rows.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n"), "firsts")
-    later = rows.join(firsts, ["h", "h2"]).where(~((F.col("first.none") == F.isnull("k")) & F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.d") == F.col("d")) & (F.col("first.i") == F.col("i"))))
+    firsts = put(again.groupBy("h", "h2").agg(F.min(rank).alias("first")), "firsts")
+    later = again.join(firsts, ["h", "h2"]).where(~((F.col("first.none") == F.isnull("k")) & F.col("first.k").eqNullSafe(F.col("k")) & (F.col("first.d") == F.col("d")) & (F.col("first.i") == F.col("i"))))
     span = F.struct("i", "start", "end", "words", F.col("first.k").alias("first_key"), F.col("first.start").alias("first_start"))
     found = later.groupBy("k", "d").agg(F.sort_array(F.collect_set(span)).alias("all"))
 
