@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, chat, linededup, media, mixing, quality, secrets, simhash, substrings, tokencount
+from tallyweave.llm import bpe, chat, linededup, media, mixing, periodic, quadratic, quality, secrets, simhash, substrings, tokencount, whitening
 from tallyweave.llm.shared import table, written
 
 
@@ -71,13 +71,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), rule=simhash.CONTRACT, shingle_words=4)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quadratic.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth text (by the CRC-32 h of its decimal doc_id) goes on with a period.
+
+    With g = floor(h / 10), n words and a = g mod n, each word i >= a becomes the word a + (i - a) mod p, p = 1 + floor((n - a) / (3 + g mod 8)).
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    few = docs.select("doc_id", "text", F.when(h % 10 == 0, quality.words_of(F.col("text"))).alias("w"), F.floor(h / 10).cast("long").alias("g"))
+    n = F.size("w")
+    few = few.withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int")))
+    few = few.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    whole = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), n - F.col("a")))
+    return few.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = periodic.with_runs(docs, "text", "r", spans=False)
+    exponent = F.floor(1000 * F.col("r.length") / F.col("r.period")).cast("long").alias("exponent_milli")
+    return got.select("doc_id", "r.n_runs", "r.start", "r.length", "r.period", exponent, "r.runs_sha256", "r.collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_substring_dedup, op3_secrets, op4_perspectives, op5_bpe, op6_quality_rules, op7_mixing, op8_token_counts, op9_line_dedup, op10_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_substring_dedup, op3_secrets, op4_perspectives, op5_bpe, op6_quality_rules, op7_mixing, op8_token_counts, op9_line_dedup, op10_simhash, op11_quality_classifier, op12_whitening, op13_periodic_runs, pipeline)}
 
 
 
