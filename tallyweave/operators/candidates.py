@@ -1,7 +1,7 @@
 """Candidate generation: query ladders, routing, blocking joins in tiers, run resolution.
 
 Blocking is always by equality of keys, so a pair is only made where a key is shared; the comparison rules run on those pairs.
-Crowded keys are reported by ``block_sizes``; AQE splits their join partitions.
+Blocks that make very many pairs are dealt into parts (``dealt_join``) and reported by ``block_sizes``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from tallyweave.functions import text as t
 from tallyweave.functions.ratio import with_ratios
 from tallyweave.functions.sequence import sequence_struct
+from tallyweave.operators.compare import candidate_keys, local_keys
 
 COLLECTED = "collected-edition"
 
@@ -135,22 +136,118 @@ def _block_key(title: Column) -> Column:
     return t.collection_title_key(title)
 
 
-def title_pairs(ladder: DataFrame, candidates: DataFrame) -> DataFrame:
+#: Pairs that one part of a block makes at most, unless one record has more of its own.
+CROWDED = 1_000_000
+#: Stands for "any creator" among creator keys, which are marked by a leading equals sign.
+ANYONE = "*"
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, crowded: int = CROWDED) -> DataFrame:
+    """The equality join of two tables on ``on``, with crowded blocks in parts.
+
+    A block of more than ``crowded`` pairs is cut into parts: the rows of its larger side are dealt to them by the digest of their id,
+    those of the smaller side are copied to each, so every pair is made once. Sizes come from counts that are summed before
+    they are shuffled; blocks of common size carry no salt.
+    """
+    a, b = left.groupBy(*on).agg(F.count("*").alias("_a")), right.groupBy(*on).agg(F.count("*").alias("_b"))
+    parts = F.least(F.ceil(F.col("_a") * F.col("_b") / crowded), F.greatest("_a", "_b")).cast("int")
+    sizes = a.join(b, on).where(F.col("_a") * F.col("_b") > crowded).select(*on, parts.alias("_parts"), (F.col("_a") >= F.col("_b")).alias("_left"))
+
+    def side(df: DataFrame, key: str, dealt: Column) -> DataFrame:
+        own, copies = F.array(F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")), F.sequence(F.lit(0), F.col("_parts") - 1)
+        part = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(dealt, own).otherwise(copies)
+        return df.join(sizes, on, "left").withColumn("_part", F.explode(part)).drop("_parts", "_left")
+
+    return side(left, left_id, F.col("_left")).join(side(right, right_id, ~F.col("_left")), [*on, "_part"]).drop("_part")
+
+
+def _marked(keys: Column) -> Column:
+    return F.array_distinct(F.transform(F.array_compact(keys), lambda x: F.concat(F.lit("="), x)))
+
+
+def _asked(ladder: DataFrame) -> DataFrame:
+    """(source_id, ordinal, label, key, who): a row for each creator that a variant names, or for anyone if it names none."""
+    ours = F.transform("creators", t.title_key)
+    who = F.when(F.size("creators") == 0, F.array(F.lit(ANYONE))).otherwise(_marked(ours))
+    return ladder.where("label <> 'relaxed'").select("source_id", "ordinal", "label", _block_key(F.col("title")).alias("key"), F.explode(who).alias("who")).where("key <> ''")
+
+
+def _offered(candidates: DataFrame) -> DataFrame:
+    """(candidate_key, provider, key, who): a row for each title key of a candidate and each of its creators, and for anyone."""
+    who = F.concat(F.array(F.lit(ANYONE)), _marked(F.coalesce(F.transform("creators", lambda x: t.title_key(x["name"])), t.no_texts())))
+    keys = F.array_distinct(F.array_compact(F.transform(F.array(F.col("title"), F.col("series_title"), F.concat_ws(" ", "title", "subtitle")), _block_key)))
+    return candidates.select("candidate_key", "provider", F.explode(keys).alias("key"), who.alias("who")).select("candidate_key", "provider", "key", F.explode("who").alias("who"))
+
+
+def title_pairs(ladder: DataFrame, candidates: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(source_id, candidate_key, provider, strategy): pairs that agree in title key, and in a creator where the variant names some.
 
-    The strategy is the label of the first variant that finds the pair. A revised search is the same join over a ladder with other titles or creators.
+    The strategy is the label of the first variant that finds the pair. The join is on key and creator together, so it makes the
+    surviving pairs alone. A revised search is the same join over a ladder with other titles or creators.
     """
-    keyed = candidates.select("candidate_key", "provider", F.coalesce(F.transform("creators", lambda x: t.title_key(x["name"])), t.no_texts()).alias("theirs"), F.explode(F.array_distinct(F.array_compact(F.array(_block_key(F.col("title")), _block_key(F.col("series_title")), _block_key(F.concat_ws(" ", "title", "subtitle")))))).alias("key"))
-    asked = ladder.where("label <> 'relaxed'").select("source_id", "ordinal", "label", _block_key(F.col("title")).alias("key"), F.transform("creators", t.title_key).alias("ours")).where("key <> ''")
-    met = asked.join(keyed, "key").where((F.size("ours") == 0) | F.arrays_overlap("ours", "theirs"))
+    met = dealt_join(_asked(ladder), _offered(candidates), ["key", "who"], "source_id", "candidate_key", crowded)
     return met.groupBy("source_id", "candidate_key", "provider").agg(F.min_by("label", "ordinal").alias("strategy"))
 
 
 def block_sizes(ladder: DataFrame, candidates: DataFrame, at_least: int = 1000) -> DataFrame:
-    """(key, sources, candidates, pairs) of the blocks that make ``at_least`` pairs, so that crowded keys are seen."""
-    a = ladder.select("source_id", _block_key(F.col("title")).alias("key")).distinct().groupBy("key").agg(F.count("*").alias("sources"))
-    b = candidates.select(_block_key(F.col("title")).alias("key")).groupBy("key").agg(F.count("*").alias("candidates"))
-    return a.join(b, "key").withColumn("pairs", F.col("sources") * F.col("candidates")).where(F.col("pairs") >= at_least)
+    """(key, who, sources, candidates, pairs) of the blocks that make ``at_least`` pairs, so that crowded keys are seen."""
+    a = _asked(ladder).groupBy("key", "who").agg(F.count("*").alias("sources"))
+    b = _offered(candidates).groupBy("key", "who").agg(F.count("*").alias("candidates"))
+    return a.join(b, ["key", "who"]).withColumn("pairs", F.col("sources") * F.col("candidates")).where(F.col("pairs") >= at_least)
+
+
+#: Letters in a gram, and the share of all distinct grams of two titles that both must have.
+GRAM, SIMILAR = 3, 0.5
+
+
+def title_grams(key: Column) -> Column:
+    """The distinct three-letter pieces of a title key with two spaces around it."""
+    padded = F.concat(F.lit(" " * (GRAM - 1)), key, F.lit(" " * (GRAM - 1)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) + GRAM - 1), lambda i: F.substring(padded, i, F.lit(GRAM))))
+
+
+def similar_keys(ours: DataFrame, theirs: DataFrame, at_least: float = SIMILAR) -> DataFrame:
+    """(key, other, similarity) of distinct keys of two tables with a column ``key`` whose grams have a Jaccard similarity of ``at_least``.
+
+    Exact. Of n grams, a key of that similarity shares one of any ``n - ceil(at_least * n) + 1``, so only that many on either side, the rarest of
+    all, meet by equality; lengths that rule the similarity out are dropped in the join, and what is left is verified. There are at
+    most 38³ grams, since keys have letters a to z, digits and spaces: the table of their ranks is broadcast. Only keys with grams
+    travel, each once whatever number of records has it. Null and empty keys are similar to none.
+    """
+    grams = lambda df: df.select("key").where("key <> ''").distinct().select("key", title_grams(F.col("key")).alias("g"))
+    a, b = grams(ours), grams(theirs)
+    counts = a.unionByName(b).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame, key: str) -> DataFrame:
+        ranked = df.select("key", F.size("g").alias("n"), F.explode("g").alias("gram")).join(F.broadcast(counts.withColumnRenamed("n", "often")), "gram")
+        listed = ranked.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("r"))
+        take = (F.col("n") - F.ceil(F.col("n") * F.lit(at_least) - 1e-9) + 1).cast("int")
+        return listed.select(F.col("key").alias(key), F.transform("r", lambda x: x["gram"]).alias(f"g_{key}"), F.explode(F.slice(F.transform("r", lambda x: x["gram"]), F.lit(1), take)).alias("gram"))
+
+    met = prefixes(a, "key").join(prefixes(b, "other"), "gram")
+    small, large = F.least(F.size("g_key"), F.size("g_other")), F.greatest(F.size("g_key"), F.size("g_other"))
+    met = met.where(small >= large * F.lit(at_least) - 1e-9).dropDuplicates(["key", "other"])
+    both = F.size(F.array_intersect("g_key", "g_other"))
+    return met.select("key", "other", (both / (F.size("g_key") + F.size("g_other") - both)).alias("similarity")).where(F.col("similarity") >= at_least)
+
+
+def similar_pairs(ladder: DataFrame, candidates: DataFrame, found: DataFrame, routes: DataFrame | None = None, at_least: float = SIMILAR, crowded: int = CROWDED) -> DataFrame:
+    """(source_id, candidate_key, provider, strategy): pairs whose titles differ by letters, for sources and feeds without a pair in ``found``.
+
+    Titles are similar as ``similar_keys`` says; where a variant names creators, one must be shared.
+    """
+    asked, offered = _asked(ladder), _offered(candidates)
+    near = similar_keys(asked, offered, at_least).select("key", "other")
+    wide = asked.join(near, "key").select("source_id", F.col("other").alias("key"), "who").distinct()
+    met = dealt_join(wide, offered, ["key", "who"], "source_id", "candidate_key", crowded)
+    met = met.select("source_id", "candidate_key", "provider").distinct()
+    return _lacking(met, found, routes).select("source_id", "candidate_key", "provider", F.lit("similar").alias("strategy"))
+
+
+def _lacking(made: DataFrame, found: DataFrame, routes: DataFrame | None) -> DataFrame:
+    """The pairs of sources and feeds that have none in ``found``, and are searched if there are ``routes``."""
+    missing = made.join(found.select("source_id", "provider").distinct(), ["source_id", "provider"], "left_anti")
+    return missing if routes is None else missing.join(routes.where("outcome = 'search'").select("source_id", "provider"), ["source_id", "provider"], "left_semi")
 
 
 def relaxed_pairs(ladder: DataFrame, candidates: DataFrame, found: DataFrame, routes: DataFrame | None = None, min_shared: float = 0.5) -> DataFrame:
@@ -168,32 +265,34 @@ def relaxed_pairs(ladder: DataFrame, candidates: DataFrame, found: DataFrame, ro
     ranked = asked.select("source_id", "ours", F.explode("ours").alias("w")).join(frequency, "w", "left").groupBy("source_id", "ours").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("r"))
     rare = ranked.select("source_id", F.explode(F.slice("r", F.lit(1), (F.size("ours") - needed + 1).cast("int"))).alias("x")).select("source_id", "x.w")
     made = rare.join(per_word, "w").select("source_id", "candidate_key", "provider").distinct()
-    missing = made.join(found.select("source_id", "provider").distinct(), ["source_id", "provider"], "left_anti")
-    if routes is not None:
-        missing = missing.join(routes.where("outcome = 'search'").select("source_id", "provider"), ["source_id", "provider"], "left_semi")
-    scored = missing.join(asked, "source_id").join(theirs.drop("provider"), "candidate_key").where(F.size(F.array_intersect("ours", "theirs")) >= needed)
+    scored = _lacking(made, found, routes).join(asked, "source_id").join(theirs.drop("provider"), "candidate_key").where(F.size(F.array_intersect("ours", "theirs")) >= needed)
     return scored.select("source_id", "candidate_key", "provider", F.lit("relaxed").alias("strategy"))
 
 
-def tiered_pairs(local: DataFrame, candidates: DataFrame, routes: DataFrame, ladder: DataFrame | None = None) -> DataFrame:
-    """Pairs by identifier; where a feed has none, by title; where it has none either, relaxed. One strategy per pair."""
+def tiered_pairs(local: DataFrame, candidates: DataFrame, routes: DataFrame, ladder: DataFrame | None = None, similar: float | None = None) -> DataFrame:
+    """Pairs by identifier; where a feed has none, by title; where it has none either, relaxed. One strategy per pair.
+
+    Given ``similar``, titles of that similarity are a tier of their own before the relaxed one.
+    """
     ladder = query_ladder(local) if ladder is None else ladder
     searched = routes.where("outcome = 'search'").select("source_id", "provider")
     on = ["source_id", "provider"]
     ids = identifier_pairs(local, candidates).join(searched, on, "left_semi")
     titles = title_pairs(ladder, candidates).join(searched, on, "left_semi").join(ids.select(*on).distinct(), on, "left_anti")
     both = ids.unionByName(titles)
+    if similar is not None:
+        both = both.unionByName(similar_pairs(ladder, candidates, both, routes, similar))
     return both.unionByName(relaxed_pairs(ladder, candidates, both, routes))
 
 
 def pairs(local: DataFrame, candidates: DataFrame, blocked: DataFrame) -> DataFrame:
-    """(source_id, candidate_key, strategy, l, c): blocked pairs with both records as structs.
+    """(source_id, candidate_key, strategy, l, lk, c, ck): blocked pairs with both records as structs, and the keys that scoring compares.
 
     Dealt by source, in as many partitions as the session shuffles into: scoring is heavy for its bytes, so partitions must not be
     merged by size, and ranking per source then needs no further shuffle.
     """
-    left = local.select("source_id", F.struct(*local.columns).alias("l"))
-    right = candidates.select("candidate_key", F.struct(*candidates.columns).alias("c"))
+    left = local.select("source_id", F.struct(*local.columns).alias("l"), local_keys().alias("lk"))
+    right = candidates.select("candidate_key", F.struct(*candidates.columns).alias("c"), candidate_keys().alias("ck"))
     met = blocked.select("source_id", "candidate_key", "strategy").join(left, "source_id").join(right, "candidate_key")
     return met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
 
@@ -233,7 +332,7 @@ def rejection_reason(local_sequence: Column, prefix: str = "c.") -> Column:
 def adapt_collections(rows: DataFrame) -> DataFrame:
     """Pairs of collected comics with ``c`` as a comic collection; rejected pairs are left out (see ``rejection_reason``)."""
     ours = F.col("l.sequence.normalized")
-    good = rows.where(rejection_reason(ours).isNull())
+    good = rows.where(rejection_reason(ours).isNull()).drop("ck")  # keys of the record as it was
     edition = F.col("c.record_type") == "book_edition"
     company = lambda x: (F.lower(x["role"]) == "author") & (F.size(F.split(F.trim(x["name"]), r"\s+")) >= 2) & F.trim(x["name"]).rlike(f"(?Ui){t.COMPANY}")
     people = F.transform(F.filter("c.creators", lambda x: ~company(x)), lambda x: F.struct(x["name"].alias("name"), F.when(F.lower(x["role"]) == "author", "writer").otherwise(x["role"]).alias("role")))
@@ -306,28 +405,35 @@ def disambiguate_runs(local: DataFrame, matched: DataFrame, issues: DataFrame, h
     """(source_id, run_id, reason): the run of each local record whose series matches more than one.
 
     In turn: only one run has the issue; only one has it with a cover of the local year; the issue's title is at least .75 like the
-    local one and leads by .15; only one run has the highest issue of the local series. At most ``max_runs`` runs
+    local one and leads by .15; only one run has the highest issue of the local series. All of it is one join and one fold of what speaks for each run. At most ``max_runs`` runs
     of a record are looked at, in the order of their ids, as the feature states. Ambiguous records get a null run.
     """
     order = Window.partitionBy("source_id").orderBy("run_id")
     several = matched.where("n > 1").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_runs).select("source_id", "run_id")
-    of = local.select("source_id", F.col("sequence.normalized").alias("seq"), F.col("year").alias("own_year"), "title", "series_title")
-    rows = several.join(of, "source_id")
-    held = issues.select(F.col("run_id").alias("r"), F.col("sequence.normalized").alias("s"), t.extract(F.col("cover_date"), r"^(\d{4})").cast("int").alias("cover_year"), F.col("title").alias("issue_title"))
-    found = rows.join(held, (F.col("run_id") == F.col("r")) & (F.col("seq") == F.col("s"))).drop("r", "s")
-    one = lambda df, reason: df.groupBy("source_id").agg(F.min("run_id").alias("run_id"), F.count_distinct("run_id").alias("n")).where("n = 1").select("source_id", "run_id", F.lit(reason).alias("reason"))
-    only = one(found, "issue in one run")
-    by_year = one(found.where("cover_year = own_year"), "cover year")
-    titled = found.where((F.coalesce("title", F.lit("")) != "") & (t.title_key(F.col("title")) != t.title_key(F.coalesce("series_title", F.lit("")))))
-    ratios = with_ratios(titled.select("source_id", "run_id", "title", "issue_title"), {"ratio": (t.title_key(F.col("title")), t.title_key(F.col("issue_title")))})
-    best = Window.partitionBy("source_id").orderBy(F.desc("ratio"), "run_id")
-    led = ratios.withColumn("next", F.lead("ratio", 1, 0.0).over(best)).withColumn("_n", F.row_number().over(best)).where((F.col("_n") == 1) & (F.col("ratio") >= 0.75) & (F.col("ratio") - F.col("next") >= 0.15))
-    by_title = led.select("source_id", "run_id", F.lit("issue title").alias("reason"))
-    tops = hints.select("key", F.col("top_sequence.normalized").alias("top"))
-    reach = found.select("source_id", "run_id", "seq", t.title_key(F.col("series_title")).alias("key")).distinct().join(tops, "key").where("top <> seq")
-    by_top = one(reach.join(held.select("r", "s").distinct(), (F.col("run_id") == F.col("r")) & (F.col("top") == F.col("s")), "left_semi"), "highest issue")
-    stages = [df.withColumn("stage", F.lit(n)) for n, df in enumerate((only, by_year, by_title, by_top))]
-    chosen = reduce(DataFrame.unionByName, stages).groupBy("source_id").agg(F.min_by(F.struct("run_id", "reason"), "stage").alias("x")).select("source_id", "x.*")
+    title, series = t.title_key(F.col("title")), t.title_key(F.coalesce("series_title", F.lit("")))
+    named = F.when((F.coalesce("title", F.lit("")) != "") & (title != series), title)
+    of = local.select("source_id", F.col("sequence.normalized").alias("seq"), F.col("year").alias("own_year"), named.alias("named"), t.title_key(F.col("series_title")).alias("key"))
+    of = of.join(hints.select("key", F.col("top_sequence.normalized").alias("top")), "key", "left").drop("key")
+    numbers = F.array(F.struct(F.lit(False).alias("is_top"), F.col("seq").alias("s")), F.when(F.col("top") != F.col("seq"), F.struct(F.lit(True).alias("is_top"), F.col("top").alias("s"))))
+    asked = several.join(of, "source_id").select("source_id", "run_id", "own_year", "named", F.explode(F.array_compact(numbers)).alias("x")).select("source_id", "run_id", "own_year", "named", "x.*")
+    held = issues.select("run_id", F.col("sequence.normalized").alias("s"), t.extract(F.col("cover_date"), r"^(\d{4})").cast("int").alias("cover_year"), t.title_key(F.col("title")).alias("other"))
+    found = asked.join(held, ["run_id", "s"])
+    told = lambda c: F.when(~F.col("is_top") & F.col("named").isNotNull(), c).otherwise("")
+    found = with_ratios(found, {"ratio": (told(F.col("named")), told(F.col("other")))})
+    own = ~F.col("is_top")
+    # what speaks for each run; at most max_runs of them then meet per record
+    best = F.slice(F.sort_array(F.collect_list(F.when(own & F.col("named").isNotNull(), F.col("ratio"))), asc=False), 1, 2)
+    evidence = found.groupBy("source_id", "run_id").agg(F.bool_or(own).alias("has"), F.coalesce(F.bool_or(own & (F.col("cover_year") == F.col("own_year"))), F.lit(False)).alias("year"), F.bool_or("is_top").alias("top"), best.alias("best"))
+    evidence = evidence.where("has").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("run_id", "year", "top", "best"))).alias("e"))
+
+    def one(keep, reason: str) -> Column:
+        kept = F.filter("e", keep)
+        return F.when(F.size(kept) == 1, F.struct(kept[0]["run_id"].alias("run_id"), F.lit(reason).alias("reason")))
+
+    ratios = F.sort_array(F.flatten(F.transform("e", lambda x: x["best"])), asc=False)
+    leads = (F.get(ratios, F.lit(0)) >= 0.75) & (F.get(ratios, F.lit(0)) - F.coalesce(F.get(ratios, F.lit(1)), F.lit(0.0)) >= 0.15)
+    by_title = F.when(leads, one(lambda x: F.get(x["best"], F.lit(0)) == F.get(ratios, F.lit(0)), "issue title"))
+    chosen = evidence.select("source_id", F.coalesce(one(lambda x: F.lit(True), "issue in one run"), one(lambda x: x["year"], "cover year"), by_title, one(lambda x: x["top"], "highest issue")).alias("x")).select("source_id", "x.*")
     return several.select("source_id").distinct().join(chosen, "source_id", "left").withColumn("reason", F.coalesce("reason", F.lit("ambiguous")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyweave.operators.compare import planning_ready
+from tallyweave.operators.numbering import numbered
 
 #: Thresholds of eligibility: score, margin over the runner-up, classification confidence.
 MIN_SCORE, MIN_MARGIN, MIN_CONFIDENCE = 92.0, 12.0, 0.90
@@ -54,8 +55,10 @@ def newest(rows: DataFrame, order: list, k: int = 1) -> DataFrame:
 
 
 def display_order(items: DataFrame, series: str = "series_title", sequence: str = "sequence", destination: str = "destination_path") -> DataFrame:
-    """Series, sequence, destination; items without a sequence last in their series."""
-    return items.orderBy(F.lower(series).asc_nulls_last(), F.col(f"{sequence}.sort_key").asc_nulls_last(), F.col(destination))
+    """``items`` with ``place``, sorted by it: series, sequence, destination; items without a series last, those without a sequence last in theirs."""
+    key = F.col(f"{sequence}.sort_key")
+    keys = {"_s0": F.col(series).isNull(), "_s1": F.lower(series), "_n0": key.isNull(), "_n1": key, "_d": F.col(destination)}
+    return numbered(items.withColumns(keys), list(keys), "place").drop(*keys).orderBy("place")
 
 
 def batch_eligible(scores: DataFrame) -> DataFrame:

@@ -150,9 +150,35 @@ def quota_probes(probes: DataFrame, log: DataFrame, blocks: DataFrame, policies:
     return counted.join(ends, key, "left").select(*key, "at", "in_window", waits.alias("wait")).withColumn("allowed", F.col("wait") <= 0)
 
 
-def quota_log_audit(log: DataFrame, window_seconds: int, key: tuple[str, ...] = ("provider", "bucket"), at: str = "reserved_at") -> DataFrame:
-    """``log`` with ``in_window`` (requests of the window up to and with this one) and ``gap`` since the one before."""
+#: Slots that a window is cut into.
+SLOTS = 16
+
+
+def quota_log_audit(log: DataFrame, window_seconds: int, key: tuple[str, ...] = ("provider", "bucket"), at: str = "reserved_at", slots: int = SLOTS) -> DataFrame:
+    """``log`` with ``in_window`` (requests of the window up to and with this one), ``gap`` (seconds since the last earlier request) and ``at_once``
+    (requests of this instant, which share the other two).
+
+    Counts by instant are summed before they are shuffled. The number of requests up to an instant, less that up to the window's start, is what
+    the window holds; both come from running totals in two levels: over a slot of time (a ``slots``-th of the window), and over the totals of
+    a provider's slots, so no task holds the requests of a provider. A request whose time is null is in no window.
+    """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    order = Window.partitionBy(*key).orderBy(micros)
-    within = order.rangeBetween(-window_seconds * 1_000_000 + 1, 0)
-    return log.withColumn("in_window", F.count("*").over(within)).withColumn("gap", (micros - F.lag(micros).over(order)) / 1e6)
+    width = window_seconds * 1_000_000
+    instants = log.groupBy(*key, micros.alias("_t")).agg(F.count("*").alias("_n")).where("_t is not null")
+    # a row where requests stand, and one where a window begins, which counts none
+    points = F.array(F.struct(F.col("_t").alias("p"), F.col("_n").alias("n")), F.struct((F.col("_t") - width).alias("p"), F.lit(0).cast("long").alias("n")))
+    both = instants.select(*key, "_t", F.posexplode(points).alias("_start", "x")).select(*key, "_t", (F.col("_start") == 1).alias("_start"), "x.p", "x.n")
+    both = both.withColumn("_slot", F.floor(F.col("p") / max(1, width // slots)))
+    inside = Window.partitionBy(*key, "_slot").orderBy("p")
+    request = F.when(~F.col("_start"), F.col("p"))
+    ran = both.withColumn("_in", F.sum("n").over(inside)).withColumn("_last", F.max(request).over(inside.rangeBetween(Window.unboundedPreceding, -1)))
+    earlier = Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slot that has one
+    totals = both.groupBy(*key, "_slot").agg(F.sum("n").alias("_sum"), F.max(request).alias("_max"))
+    bases = totals.select(*key, "_slot", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.max("_max").over(earlier).alias("_before"))
+    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
+    met = ran.join(bases, same(ran, bases, [*key, "_slot"])).select(*(ran[c] for c in key), "_t", "_start", (F.col("_in") + F.col("_base")).alias("_upto"), F.coalesce("_last", "_before").alias("_last"))
+    counted = met.groupBy(*key, "_t").agg((F.max(F.when(~F.col("_start"), F.col("_upto"))) - F.max(F.when(F.col("_start"), F.col("_upto")))).alias("in_window"), F.max(F.when(~F.col("_start"), F.col("_last"))).alias("_last"))
+    counted = counted.join(instants, same(counted, instants, [*key, "_t"])).select(*(counted[c] for c in key), counted["_t"], "in_window", ((counted["_t"] - F.col("_last")) / 1e6).alias("gap"), F.col("_n").alias("at_once"))
+    rows = log.withColumn("_t", micros)
+    got = rows.join(counted, [*same(rows, counted, key), rows["_t"] == counted["_t"]], "left")
+    return got.select(*(rows[c] for c in log.columns), "in_window", "gap", "at_once")

@@ -22,19 +22,18 @@ def part_locals(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     return p.select(
         F.col("p_partkey").cast("string").alias("source_id"), F.lit("book").alias("kind"), F.lit("standalone-book").alias("subtype"), F.lit(0.98).alias("classification_confidence"), F.col("p_name").alias("title"), F.array("p_brand").alias("creators"), F.array().cast(IDENTIFIERS).alias("identifiers"), none("string").alias("series_title"),
-        sequence_struct(none("string")).alias("sequence"), (F.col("p_size") + 2000).cast("int").alias("year"), none("int").alias("run_start_year"), none("string").alias("publisher"), none("string").alias("language"), F.array().cast("array<string>").alias("edition_qualifiers"), F.col("p_type").alias("shelf"),
+        sequence_struct(none("string")).alias("sequence"), (F.col("p_size") + 2000).cast("int").alias("year"), none("int").alias("run_start_year"), none("string").alias("publisher"), none("string").alias("language"), F.array().cast("array<string>").alias("edition_qualifiers"),
     )
 
 
 def part_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as catalogue works of other shelves."""
+    """Parts as catalogue works."""
     p = table(spark, sf_dir, "part")
     none = lambda kind: F.lit(None).cast(kind)
     return p.select(
         F.format_string("work:%d:book_work", "p_partkey").alias("candidate_key"), F.lit("work").alias("provider"), F.col("p_partkey").cast("string").alias("provider_id"), F.lit("book_work").alias("record_type"), F.lit("book").alias("media_kind"), F.col("p_name").alias("title"), none("string").alias("subtitle"),
         F.array(F.struct(F.col("p_brand").alias("name"), F.lit("author").alias("role"))).cast(CREDITS).alias("creators"), F.array().cast(IDENTIFIERS).alias("identifiers"), none("string").alias("publisher"), (F.col("p_size") + 2000).cast("string").alias("publication_date"),
         *(none("string").alias(c) for c in ("release_date", "release_date_precision", "cover_date", "cover_date_precision", "language", "series_title")), none("int").alias("run_start_year"), sequence_struct(none("string")).alias("sequence"), *(none("string").alias(c) for c in ("item_type", "work_id", "edition_id", "run_id")), F.create_map().cast("map<string,string>").alias("provider_metadata"), F.lit(1).alias("provider_schema_version"),
-        F.col("p_type").alias("shelf"),
     )
 
 

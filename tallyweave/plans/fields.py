@@ -53,10 +53,10 @@ _RULES = """WITH p AS (SELECT p_partkey AS k, p_partkey % 2 = 1 AS collected FRO
 _FIELDS = ("identifier", "title", "issue_title", "creators", "publisher", "edition_qualifier", "sequence", "year", "run_start_year")
 
 
-def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _compared(spark: SparkSession, sf_dir: str, exchange: bool = False) -> DataFrame:
     local, found = _parts(spark, sf_dir)
     blocked = found.select(F.col("provider_id").alias("source_id"), "candidate_key", F.lit("own").alias("strategy"))
-    return compare.score_pairs(candidates.pairs(local, found, blocked))
+    return compare.score_pairs(candidates.pairs(local, found, blocked), exchange)
 
 
 @query(f"""{_RULES} SELECT CAST(k AS VARCHAR) AS source_id, CAST(greatest(0, least(100, 40 + {" + ".join(f"coalesce({f}, 0)" for f in _FIELDS)})) AS DOUBLE) AS score, coalesce(identifier = -100, false) OR coalesce(sequence = -100, false) AS hard_contradiction FROM d""")

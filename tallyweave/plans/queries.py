@@ -31,15 +31,15 @@ def query(sql: str | None = None):
 
 _PAIRS = """p AS (SELECT CAST(a.p_partkey AS VARCHAR) AS source_id, 'work:' || b.p_partkey || ':book_work' AS candidate_key,
   least(100.0, 90.0 + CASE abs(a.p_size - b.p_size) WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE -7 END) AS score
-  FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type <> b.p_type)"""
+  FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of parts but those of a record with itself."""
     local, found = b.part_locals(spark, sf_dir), b.part_candidates(spark, sf_dir)
-    ladder = candidates.query_ladder(local.drop("shelf"))
-    blocked = candidates.title_pairs(ladder, found)
-    pairs = candidates.pairs(local, found, blocked).where(F.col("l.shelf") != F.col("c.shelf"))
-    return compare.score_pairs(pairs)
+    blocked = candidates.title_pairs(candidates.query_ladder(local), found)
+    others = blocked.where(F.col("candidate_key") != F.format_string("work:%s:book_work", "source_id"))
+    return compare.score_pairs(candidates.pairs(local, found, others))
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, candidate_key) AS rank,
@@ -60,13 +60,6 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.top_per_source(rank.ranked(_scored(spark, sf_dir))).select("source_id", "candidate_key", "rank")
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, candidate_key) AS rank FROM p)
-SELECT source_id, 'accepted' AS work_state, 'unresolved' AS edition_state, CAST(2 AS INTEGER) AS fields FROM r WHERE rank = 1""")
-def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare.reconcile(rank.ranked(_scored(spark, sf_dir)).where("rank = 1"))
-    return rows.select("source_id", "reconciliation.work_state", "reconciliation.edition_state", F.size("reconciliation.fields").alias("fields"))
-
-
 @query("""SELECT CAST(a.p_partkey AS VARCHAR) AS source_id, count(*) AS pairs FROM part a JOIN part b ON a.p_retailprice = b.p_retailprice GROUP BY a.p_partkey""")
 def identifier_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array(F.struct(F.lit("SKU").alias("scheme"), F.floor(F.col("p_retailprice") * 100 + 0.5).cast("string").alias("value")))
@@ -117,12 +110,6 @@ def parsed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("p_partkey", "comic.subtype", "comic.series", F.col("comic.sequence.normalized").alias("sequence"), "comic.year", "comic.title", F.get("comic.creators", F.lit(0)).alias("creator"))
 
 
-@query("""SELECT p_partkey, 'comic' AS kind, CASE p_partkey % 4 WHEN 0 THEN 'issue' ELSE 'collected-edition' END AS subtype, CAST(0.98 AS DOUBLE) AS confidence, false AS ambiguous FROM part""")
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = names.parse_book_names(names.parse_comic_names(b.part_paths(spark, sf_dir))).withColumn("format", F.lit("cbz"))
-    return names.classify(rows).select("p_partkey", "classification.kind", "classification.subtype", "classification.confidence", "classification.ambiguous")
-
-
 @query("""WITH t AS (SELECT p_partkey, p_partkey % 4 AS m FROM part) SELECT kind, is_noise, count(*) AS n FROM (
  SELECT unnest(CASE m WHEN 0 THEN ['year', 'release-noise', 'release-noise', 'sequence', 'text', 'text', 'text'] WHEN 1 THEN ['year', 'release-noise', 'text', 'text', 'text'] WHEN 2 THEN ['year', 'sequence', 'text', 'text', 'text', 'text', 'text', 'text', 'text'] ELSE ['year', 'edition-qualifier', 'text', 'text', 'release-noise'] END) AS kind,
  unnest(CASE m WHEN 0 THEN [false, true, true, false, false, false, false] WHEN 1 THEN [false, true, false, false, false] WHEN 2 THEN [false, false, false, false, false, false, false, false, false] ELSE [false, false, false, false, true] END) AS is_noise FROM t) GROUP BY ALL""")
@@ -321,10 +308,11 @@ def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.state_counts(b.journal_items(spark, sf_dir))
 
 
-@query("""SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events), i AS (SELECT event_type, t, count(*) AS n, lag(t) OVER (PARTITION BY event_type ORDER BY t) AS before FROM e GROUP BY event_type, t)
+SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window, (t - before) / 1000000.0::DOUBLE AS gap, n AS at_once FROM e JOIN i USING (event_type, t)""")
 def quota_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = b.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("provider"), F.lit("x").alias("bucket"), F.col("ts").alias("reserved_at"))
-    return report.quota_log_audit(log, 3600).select("event_id", "in_window")
+    return report.quota_log_audit(log, 3600).select("event_id", "in_window", "gap", "at_once")
 
 
 @query("""WITH p AS (SELECT event_type, event_id, epoch_us(ts) AS at FROM events WHERE event_id % 4 = 0), l AS (SELECT event_type, epoch_us(ts) AS r FROM events WHERE event_id % 4 <> 0)
@@ -593,8 +581,9 @@ def planning_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = b.part_candidates(spark, sf_dir)
     k = F.col("provider_id").cast("bigint") % 3
-    details = found.where(k > 0).withColumn("publisher", F.col("shelf")).withColumn("media_kind", F.when(k == 2, "comic").otherwise("book")).drop("shelf")
-    return golden.hydrate(found.drop("shelf"), details).select("candidate_key", "status", "publisher", F.array_join("changes", ",").alias("changes"))
+    types = b.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("provider_id"), F.col("p_type").alias("publisher"))
+    details = found.where(k > 0).drop("publisher").join(types, "provider_id").withColumn("media_kind", F.when(k == 2, "comic").otherwise("book")).select(*found.columns)
+    return golden.hydrate(found, details).select("candidate_key", "status", "publisher", F.array_join("changes", ",").alias("changes"))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS source_fingerprint, 'T' || id AS title, resolution FROM (SELECT user_id, max(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END) AS id, arg_max(CASE event_type WHEN 'signup' THEN 'complete' ELSE 'work_only' END, CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END) AS resolution, arg_max(event_type, event_id) AS head FROM events GROUP BY user_id) WHERE id IS NOT NULL AND head NOT IN ('error', 'view')""")
@@ -617,7 +606,7 @@ def collection_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT label, count(*) AS n FROM (SELECT unnest(['structured', 'structured-title-only', 'vol', 'vol-title-only', 'vol-comma', 'vol-comma-title-only', 'creator-inline'] || CASE WHEN p_size <= 20 THEN ['creator-inline-word-number'] ELSE [] END) AS label FROM part) GROUP BY ALL""")
 def query_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local = b.part_locals(spark, sf_dir).drop("shelf").withColumn("kind", F.lit("comic")).withColumn("subtype", F.lit("collected-edition")).withColumn("series_title", F.initcap("title"))
+    local = b.part_locals(spark, sf_dir).withColumn("kind", F.lit("comic")).withColumn("subtype", F.lit("collected-edition")).withColumn("series_title", F.initcap("title"))
     size = (F.col("year") - 2000).cast("string")
     local = local.withColumn("title", F.concat(F.lit("Volume "), size)).withColumn("sequence", sequence_struct(size))
     return candidates.collection_ladder(local).groupBy("label").agg(F.count("*").alias("n"))
@@ -626,7 +615,7 @@ def query_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS source_id, count(*) OVER (PARTITION BY p_name, p_brand) AS pairs FROM part""")
 def relaxed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat_ws(" ", F.col("title"), F.get("creators", F.lit(0)))
-    local = b.part_locals(spark, sf_dir).drop("shelf").withColumn("title", whole)
-    found = b.part_candidates(spark, sf_dir).drop("shelf").withColumn("title", F.concat_ws(" ", F.col("title"), F.get("creators", F.lit(0))["name"]))
+    local = b.part_locals(spark, sf_dir).withColumn("title", whole)
+    found = b.part_candidates(spark, sf_dir).withColumn("title", F.concat_ws(" ", F.col("title"), F.get("creators", F.lit(0))["name"]))
     none = spark.createDataFrame([], "source_id string, provider string")
     return candidates.relaxed_pairs(candidates.query_ladder(local), found, none, min_shared=1.0).groupBy("source_id").agg(F.count("*").alias("pairs"))

@@ -13,19 +13,18 @@ ROOT = "ComicInfo"
 
 
 def comicinfo_fields(df: DataFrame, column: str = "xml") -> DataFrame:
-    """``df`` with a column per field (trimmed; null if absent) and ``xml_error``: malformed, wrong root or a field twice.
+    """``df`` with a column per field (trimmed; null if absent or empty) and ``xml_error``: malformed, wrong root or a field twice.
 
-    Malformed XML would end an ``xpath`` query, so only documents that are balanced by ``from_xml`` reach it.
+    A document is parsed once, each field into an array, whose length says whether the field repeats. A null document is malformed.
     """
-    parsed = F.from_xml(F.col(column), "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    schema = ", ".join(f"{f} array<string>" for f in COMIC_FIELDS) + ", _bad string"
+    parsed = F.from_xml(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     root = t.extract(F.regexp_replace(F.col(column), r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", ""), r"^\s*<([A-Za-z_][\w.-]*)")
-    rows = df.withColumn("_ok", F.col(column).isNotNull() & parsed["_bad"].isNull() & root.isNotNull()).withColumn("_root", root)
-    safe = F.when(F.col("_ok"), F.col(column)).otherwise(F.lit(f"<{ROOT}/>"))
-    rows = rows.withColumn("_x", safe)
-    counts = rows.select("*", *(F.expr(f"xpath(_x, '/{ROOT}/{f}/text()')").alias(f"_v_{f}") for f in COMIC_FIELDS), *(F.expr(f"xpath_int(_x, 'count(/{ROOT}/{f})')").alias(f"_n_{f}") for f in COMIC_FIELDS))
-    twice = F.array_compact(F.array(*(F.when(F.col(f"_n_{f}") > 1, F.lit(f)) for f in COMIC_FIELDS)))
-    error = F.when(~F.col("_ok"), "malformed XML").when(F.col("_root") != ROOT, "wrong root element").when(F.size(twice) > 0, F.concat(F.lit("duplicate field: "), F.array_join(twice, ", ")))
-    return counts.select(*df.columns, *(F.when(error.isNull() & (F.size(f"_v_{f}") > 0), F.trim(F.array_join(F.col(f"_v_{f}"), ""))).alias(f) for f in COMIC_FIELDS), error.alias("xml_error"))
+    rows = df.withColumn("_x", parsed).withColumn("_root", root)
+    twice = F.array_compact(F.array(*(F.when(F.size(f"_x.{f}") > 1, F.lit(f)) for f in COMIC_FIELDS)))
+    malformed = F.col("_x").isNull() | F.col("_x._bad").isNotNull() | F.col("_root").isNull()
+    rows = rows.withColumn("xml_error", F.when(malformed, "malformed XML").when(F.col("_root") != ROOT, "wrong root element").when(F.size(twice) > 0, F.concat(F.lit("duplicate field: "), F.array_join(twice, ", "))))
+    return rows.select(*df.columns, *(F.when(F.col("xml_error").isNull(), t.filled(F.trim(F.get(f"_x.{f}", F.lit(0))))).alias(f) for f in COMIC_FIELDS), "xml_error")
 
 
 _TEXT = "array<struct<_VALUE: string, _id: string, _role: string>>"

@@ -94,5 +94,5 @@ def test_ratio_matches_reference_library(spark):
     from difflib import SequenceMatcher
 
     pairs = [("abcd", "bcde"), ("", ""), ("x", ""), ("private thread", "privat thrd")]
-    got = ratio.with_ratios(spark.createDataFrame(pairs, "a string, b string"), {"r": (F.col("a"), F.col("b"))}).collect()
+    got = ratio.with_ratios(spark.createDataFrame(pairs, "a string, b string"), {"r": (F.col("a"), F.col("b"))}, ["a", "b"]).collect()
     assert all(abs(r.r - SequenceMatcher(None, r.a, r.b).ratio()) < 1e-12 for r in got)
