@@ -5,6 +5,8 @@ import subprocess
 import sys
 
 
+from pyspark.sql import functions as F
+
 from tallyweave.plans.queries import ORACLE_SQL, QUERIES
 from tallyweave.sources import feeds, inventory, sinks, xml
 
@@ -94,3 +96,81 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'best_match' in q and not any(n.startswith('op') for n in q if n[2:3].isdigit()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_scanned_folders(spark, tmp_path):
+    """Links are skipped, files of any size hashed, broken ones reported, whatever the number of partitions."""
+    import hashlib
+    import os
+
+    deep = tmp_path / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    big = os.urandom(3 * (1 << 20) + 17)
+    (deep / "big.cbz").write_bytes(big)
+    (tmp_path / "a" / "x.pdf").write_bytes(b"%PDF-1")
+    (tmp_path / "a" / "empty.epub").write_bytes(b"")
+    (tmp_path / "a" / "note.txt").write_bytes(b"no media")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "y.cbz").write_bytes(b"PK\x03\x04")
+    (tmp_path / "a" / "link.cbz").symlink_to(tmp_path / "out" / "y.cbz")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path)
+    for folders in (1, 2, 3, 50):
+        rows = {r.path.removeprefix(f"{tmp_path}/"): r for r in inventory.scanned(spark, str(tmp_path), [str(tmp_path / "out")], folders).collect()}
+        assert set(rows) == {"a/b/c/big.cbz", "a/x.pdf", "a/empty.epub"}
+        assert (rows["a/b/c/big.cbz"].sha256, rows["a/b/c/big.cbz"].size) == (hashlib.sha256(big).hexdigest(), len(big))
+        assert rows["a/x.pdf"].format == "pdf" and rows["a/empty.epub"].sha256 == hashlib.sha256(b"").hexdigest()
+    missing = inventory.scanned(spark, str(tmp_path / "nowhere")).collect()
+    assert [(r.signature, r.sha256, r.format) for r in missing] == [("unreadable", "", "unknown")] and missing[0].error
+    limited = inventory.inventory(spark, str(tmp_path / "a"), max_bytes=100)
+    hashed = {r.path.rsplit("/", 1)[1]: r for r in inventory.with_failures(limited.select("path"), inventory.with_sha256(inventory.with_signature(limited))).collect()}
+    assert (hashed["big.cbz"].signature, hashed["big.cbz"].sha256) == ("unreadable", "") and hashed["x.pdf"].signature == "pdf"
+
+
+def test_torn_exports_are_refused(spark, tmp_path):
+    plans = spark.createDataFrame([(f'{{"schema_version":1,"items":[],"k":{i}}}',) for i in range(20)], "canonical_json string").repartition(3)
+
+    def problems(tear):
+        path = str(tmp_path / tear.__name__)
+        sinks.export_plans(plans, path)
+        assert sinks.export_problems(spark, path).count() == 0 and sinks.import_plans(spark, path)[0].count() == 20
+        tear(tmp_path / tear.__name__)
+        good, bad = sinks.import_plans(spark, path)
+        assert good.count() == 0 and all("torn export" in r.reasons for r in bad.collect())
+        told = {r.problem for r in sinks.export_problems(spark, path).collect()}
+        sinks.export_plans(plans, path)  # a whole export mends it
+        assert sinks.import_plans(spark, path)[0].count() == 20
+        return told
+
+    def parts(path):
+        return sorted(p for p in (path / "data").iterdir() if p.name.startswith("part") and p.stat().st_size)
+
+    def lost(path):
+        parts(path)[0].unlink()
+
+    def changed(path):
+        first = parts(path)[0]
+        first.write_text(first.read_text().replace('"k":', '"j":'))
+        (first.parent / f".{first.name}.crc").unlink()
+
+    def unsealed(path):
+        for p in sorted((path / "seal").iterdir()):
+            p.unlink()
+        (path / "seal").rmdir()
+
+    def resealed(path):
+        for p in (path / "seal").iterdir():
+            if p.name.startswith("part"):
+                p.write_text("1:1\n")
+            if p.name.endswith(".crc"):
+                p.unlink()
+
+    assert problems(lost) == {"file is missing"} and problems(changed) == {"file was changed"} and problems(unsealed) == {"no seal"} and problems(resealed) == {"manifest does not match its seal"}
+
+
+def test_united_arrays_keep_their_order(spark):
+    from tallyweave.operators import golden
+
+    rows = [("a", 3, "X"), ("a", 1, "y"), ("a", 2, "x"), ("a", 1, "b"), ("b", 1, None), ("b", 2, "z"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "k string, place int, v string").repartition(5)
+    got = {r.k: [x.v for x in r["items"]] for r in golden.ordered_distinct(df, ["k"], ["place"], {"v": F.col("v")}, ("v",)).collect()}
+    assert got == {"a": ["b", "y", "x"], "b": ["z"], None: ["n"]}

@@ -140,3 +140,25 @@ def test_sets_attempts_and_hints(spark):
     carried = spark.createDataFrame([("comic:saga", "r1", "Saga", 2012), ("comic:saga", "r3", "Saga II", 2020)], "group_key string, run_id string, series_title string, run_start_year int")
     groups = spark.createDataFrame([("comic:saga",)], "group_key string")
     assert [r.run_id for r in candidates.run_choices(groups, runs, carried).collect()] == ["r1", "r3"]
+
+
+def test_quota_counts_in_two_levels(spark):
+    """Against every pair, with ties, empty slots, one crowded provider, nulls in time and key."""
+    import random
+
+    from tallyweave.operators import report
+
+    rng = random.Random(6)
+    rows = [("p" if rng.random() < 0.7 else rng.choice(["q", None]), "x", rng.choice([rng.randrange(100_000), rng.randrange(500), 7]) / 10) for _ in range(400)] + [("p", "x", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, provider string, bucket string, s double").withColumn("reserved_at", F.timestamp_micros(F.round(F.col("s") * 1_000_000).cast("long"))).repartition(6)
+    for window, slots in ((60, 16), (60, 1), (1, 16), (100_000, 3)):
+        for r in report.quota_log_audit(df, window, slots=slots).collect():
+            if r.s is None:
+                assert (r.in_window, r.gap, r.at_once) == (None, None, None) or r.in_window is None
+                continue
+            mine = [x for x in rows if x[0] == r.provider and x[2] is not None]
+            assert r.in_window == sum(round(r.s * 1e6) - window * 1e6 < round(x[2] * 1e6) <= round(r.s * 1e6) for x in mine), (window, slots, r)
+            before = [x[2] for x in mine if x[2] < r.s]
+            assert (r.gap is None) == (not before) and (not before or abs(r.gap - (r.s - max(before))) < 1e-6)
+            assert r.at_once == sum(x[2] == r.s for x in mine)
+    assert report.quota_log_audit(df.limit(0), 60).count() == 0
