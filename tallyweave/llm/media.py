@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.shared import free_name
+
 #: Payload bytes in a row of blocks, and rows of blocks in one picture (65,535 pixels at most).
 ROW, ROWS = 64, 8191
 #: Payload bytes that are coded together.
@@ -60,8 +62,18 @@ def _header(rows: int) -> bytes:
     ))
 
 
+#: Rows of samples that are coded at once: coding takes some 100 bytes a sample, whatever the length of a text.
+CODED_ROWS = 8192
+
+
 def _scan_rows(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entropy-coded bytes of rows of samples, stuffed, one row behind the other, and each row's length."""
+    parts = [_coded_rows(samples[i : i + CODED_ROWS]) for i in range(0, len(samples), CODED_ROWS)]
+    data, lengths = zip(*parts, strict=True)
+    return np.concatenate(data), np.concatenate(lengths)
+
+
+def _coded_rows(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     level = samples.astype(np.int16) - 128
     diff = np.diff(level, axis=1, prepend=np.int16(0))
     size = np.ceil(np.log2(np.arange(512) + 1)).astype(np.int64)  # bits of a magnitude
@@ -405,14 +417,17 @@ def _strides(sizes: Iterable[int]) -> list[slice]:
 
 
 def stored(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """``df`` with a binary column: each whole text as baseline JPEG. Null counts as empty; no shuffle; all other columns pass."""
+    """``df`` with a binary column: each whole text as baseline JPEG. Null counts as empty; no shuffle; all other columns pass.
+
+    Where ``df`` has a column ``out``, the new one's name has underscores added; so in ``media_features``.
+    """
 
     @F.arrow_udf("binary")
     def of(texts: pa.Array) -> pa.Array:
         payloads = [payload_of(t.as_py()) for t in texts]
         return pa.array([m for s in _strides(map(len, payloads)) for m in write_jpegs(payloads[s])], pa.binary())
 
-    return df.withColumn(out, of(F.col(f"`{text}`")))
+    return df.withColumn(free_name(df, out), of(F.col(f"`{text}`")))
 
 
 _FEATURES = "width long, height long, pictures int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, average_hash string, difference_hash string, error string"
@@ -443,4 +458,4 @@ def media_features(df: DataFrame, media: str = "media", out: str = "features") -
         data = [v.as_py() for v in values]
         return pa.array([one(d, *t) for s in _strides(len(d or b"") for d in data) for d, t in zip(data[s], thumbnails(data[s]), strict=True)], kind)
 
-    return df.withColumn(out, of(F.col(f"`{media}`")))
+    return df.withColumn(free_name(df, out), of(F.col(f"`{media}`")))

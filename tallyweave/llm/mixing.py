@@ -23,9 +23,9 @@ GOLDEN = 2654435769
 WEIGHTS = (1, 2, 3)
 #: No source is used more often than this.
 MAX_EPOCHS = 3
-#: A block has this many words at least (but for smaller sources), and so many that the whole has about ``MOST_BLOCKS`` at
-#: most, while a source has ``LEAST_BLOCKS`` of them where its size allows.
-BLOCK_WORDS, MOST_BLOCKS, LEAST_BLOCKS = 64, 1 << 22, 64
+#: A block has this many words at least, and so many that the whole has about ``MOST_BLOCKS`` at most, while every source has
+#: ``LEAST_BLOCKS`` of them at least; sources up to ``TINY_WORDS`` have blocks of one word.
+BLOCK_WORDS, MOST_BLOCKS, LEAST_BLOCKS, TINY_WORDS = 64, 1 << 22, 64, 256
 #: Documents of a source are dealt by digest into this many parts for running totals, slots by this many in a row.
 PARTS, SLOT_RUN = 4096, 65536
 #: Cells of the point range, by which slots meet the intervals of the sources.
@@ -89,7 +89,7 @@ def quotas(sources: DataFrame, total: float) -> DataFrame:
     """
     general = max(BLOCK_WORDS, int(-(-total // MOST_BLOCKS)))
     size = F.col("source_size")
-    words = F.least(F.lit(general), F.greatest(F.lit(BLOCK_WORDS), F.floor(size / LEAST_BLOCKS)))
+    words = F.when(size <= TINY_WORDS, 1).otherwise(F.least(F.lit(general), F.greatest(F.lit(1), F.floor(size / LEAST_BLOCKS))))
     blocks = F.greatest(F.lit(1), F.ceil(size / words)).cast("long")
     return sources.withColumn("blocks", blocks).withColumn("quota", F.when(size > 0, F.floor(F.col("target") * F.col("blocks") / size + F.lit(0.5))).otherwise(F.lit(0)).cast("long"))
 

@@ -207,10 +207,9 @@ def with_runs(df: DataFrame, text: str = "text", out: str = "periodic", spans: b
     them by start, then period; ``collapsed``, the words but those behind the first period of a run, joined by one space; SHA-256 digests
     of the runs and of the collapsed text. ``spans=False`` leaves ``runs`` and ``collapsed`` null and returns the digests alone. A null text
     counts as empty: no run, digests of nothing. Rows are independent, repeated ones get equal values; nothing is shuffled. All
-    other columns pass; a column named ``out`` is an error. A text is worked on by one task, whose memory follows that text.
+    other columns pass; where ``df`` has a column ``out``, the new one's name has underscores added. A text is worked on by one task, whose memory follows that text.
     """
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"a column named {out} is there already")
+    out = free_name(df, out)
     mark = free_name(df, "_bytes")
     kept = df.withColumn(mark, F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
     return kept.select(*(F.col(f"`{c}`") for c in df.columns), _runs_of(spans)(F.col(mark)).alias(out))

@@ -41,14 +41,16 @@ def word_features(df: DataFrame, text: str = "text") -> DataFrame:
 
     ``n_repeat_words`` counts the words that lie in an eight-word window found at least twice in the text, the
     first occurrence included; windows compare by 64-bit digests. ``n_dup_lines`` counts lines with a word
-    that equal an earlier line. Null, empty and blank texts have zero everywhere. Array functions within the
-    row: nothing is shuffled, and a long text costs n log n only if a window repeats.
+    that equal an earlier line. Null, empty and blank texts have zero everywhere. A column of ``df`` that is named like a count
+    passes under that name with underscores added. Array functions within the row: nothing is shuffled, and a long text costs
+    n log n only if a window repeats.
     """
-    rest = [F.col(f"`{c}`") for c in df.columns if c != text]
+    rest = [c for c in df.columns if c != text]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    a = df.select(*rest, words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0).alias("_l"), (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"))
-    a = a.select(*rest, "n_symbols", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    kept = [*rest, "n_symbols", "n_words", "word_chars", "n_dup_lines"]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(0)
+    a = df.select(row.alias("_row"), words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0).alias("_l"), (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"))
+    a = a.select("_row", "n_symbols", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    kept = ["_row", "n_symbols", "n_words", "word_chars", "n_dup_lines"]
     step = 1
     while step < WINDOW:
         a = a.select(*kept, _pairs("_h", step).alias("_h"))
@@ -60,7 +62,14 @@ def word_features(df: DataFrame, text: str = "text") -> DataFrame:
     k = F.size("_p") - 1
     gaps = F.zip_with(F.slice("_p", F.lit(1), k), F.slice("_p", F.lit(2), k), lambda x, y: F.least(y - x, F.lit(WINDOW)).cast("long"))
     covered = F.aggregate(gaps, F.lit(WINDOW).cast("long"), lambda acc, g: acc + g)
-    return a.select(*kept, F.when(F.col("_p").isNotNull(), covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
+    names, taken = {}, {c.lower() for c in (*COUNTS, *rest)}
+    for c in rest:
+        name = c
+        while c.lower() in COUNTS and name.lower() in taken:
+            name += "_"
+        names[c] = name
+        taken.add(name.lower())
+    return a.select(*(F.col("_row")[c].alias(n) for c, n in names.items()), "n_symbols", "n_words", "word_chars", "n_dup_lines", F.when(F.col("_p").isNotNull(), covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def shares(n_words: Column, word_chars: Column, n_symbols: Column, n_dup_lines: Column, n_repeat_words: Column) -> dict[str, Column]:

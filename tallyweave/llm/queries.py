@@ -149,7 +149,7 @@ s3 AS (SELECT *, CAST(total AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap /
 lv AS (SELECT arg_min(remaining, cap / weight) AS remaining, arg_min(weights, cap / weight) AS weights FROM s3 WHERE remaining * weight / weights <= cap),
 s AS (SELECT s2.*, least(coalesce(lv.remaining * weight / lv.weights, cap), cap) AS target FROM s2, lv),
 tt AS (SELECT greatest({mixing.BLOCK_WORDS}, CAST(ceil(sum(target) / {mixing.MOST_BLOCKS}) AS BIGINT)) AS general FROM s),
-bl AS (SELECT s.*, greatest(1, CAST(ceil(source_size / least(general, greatest({mixing.BLOCK_WORDS}, source_size // {mixing.LEAST_BLOCKS}))) AS BIGINT)) AS blocks FROM s, tt),
+bl AS (SELECT s.*, greatest(1, CAST(ceil(source_size / CASE WHEN source_size <= {mixing.TINY_WORDS} THEN 1 ELSE least(general, greatest(1, source_size // {mixing.LEAST_BLOCKS})) END) AS BIGINT)) AS blocks FROM s, tt),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * blocks / source_size + 0.5) AS BIGINT) ELSE 0 END AS quota, source_size % blocks AS longer, source_size // blocks AS short FROM bl),
 laid AS (SELECT doc_id, size, q.*, CAST(coalesce(sum(size) OVER (PARTITION BY n ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source WHERE size > 0),
 ends AS (SELECT *, CASE WHEN start < longer * (short + 1) THEN start // (short + 1) ELSE longer + (start - longer * (short + 1)) // short END AS lo, start + size - 1 AS e FROM laid),

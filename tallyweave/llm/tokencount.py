@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.shared import free_name
 from tallyweave.llm.vocabulary import Vocabulary, load, parse
 
 #: Pre-tokens of the byte-level vocabulary.
@@ -129,7 +130,8 @@ _KEPT: dict[int, tuple[MergeTable, dict[str, int]]] = {}
 def with_token_counts(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``df`` with a long column of token counts of each whole text, special strings inside texts being one token each.
 
-    Null and empty texts have none. No shuffle; all other columns pass unchanged.
+    Null and empty texts have none. No shuffle; all other columns pass unchanged. Where ``df`` has a column ``out``, the new one's name
+    has underscores added.
     """
     data = df.sparkSession.sparkContext.broadcast(load(path))
 
@@ -141,4 +143,4 @@ def with_token_counts(df: DataFrame, path: str, text: str = "text", out: str = "
         table, memory = _KEPT[id(vocabulary)]
         return pa.array(token_counts(texts.to_pylist(), vocabulary, table, memory), pa.int64())
 
-    return df.withColumn(out, of(F.col(f"`{text}`")))
+    return df.withColumn(free_name(df, out), of(F.col(f"`{text}`")))

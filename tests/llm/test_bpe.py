@@ -101,3 +101,8 @@ def test_counts_do_not_depend_on_memory(monkeypatch):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert B.encoding_digests(df, WORD).count() == 0 and C.with_token_counts(df, BYTE).count() == 0
+
+
+def test_count_column_beside_one_of_that_name(spark):
+    got = C.with_token_counts(spark.createDataFrame([("a b", "kept")], "text string, N_TOKENS string"), BYTE).first()
+    assert (got.N_TOKENS, got.n_tokens_) == ("kept", 2)

@@ -104,3 +104,13 @@ def test_hashes_of_thumbnails():
     up = np.tile(np.arange(64, dtype=np.uint8), (16, 1))
     assert M.thumbnail_hashes(up)[1] == "f" * 16 and M.thumbnail_hashes(up[:, ::-1])[1] == "0" * 16
     assert M.thumbnail_hashes(np.full((1, 64), 7, np.uint8)) == ("0" * 16, "0" * 16)
+
+
+def test_clashing_names_and_one_long_text(spark, monkeypatch):
+    df = spark.createDataFrame([("ab" * 400_000, 1, 2), (None, 3, 4)], "text string, media int, FEATURES int")
+    got = M.media_features(M.stored(df), "media_").select("text", "media", "FEATURES", "features_.*").collect()
+    assert [(r.media, r.FEATURES, r.payload_bytes) for r in got] == [(1, 2, 800_000), (3, 4, 64)]
+    payloads = [bytes(range(64)) * 40, b"x" * 64]
+    whole = M.write_jpegs(payloads)
+    monkeypatch.setattr(M, "CODED_ROWS", 7)
+    assert M.write_jpegs(payloads) == whole

@@ -108,3 +108,21 @@ def test_resampled_follows_the_mix(spark):
     taken = {r.doc_id: (r.taken, r["size"]) for r in M.mixed(docs).collect()}
     times = Counter(r.doc_id for r in M.resampled(docs).collect())
     assert all(abs(times[k] - t / s) <= 0.5 for k, (t, s) in taken.items() if s)
+
+
+@pytest.mark.parametrize("sizes", [(30, 30, 30), (64, 64), (200, 150, 190), (1, 2, 3), (7, 200, 5, 1), (1, 1, 199), (100, 3, 3)])
+def test_tiny_sources_meet_their_targets_uncapped_and_capped(spark, sizes):
+    rows, n = [], 0
+    for i, size in enumerate(sizes):
+        for words in [size // 3, size - size // 3]:
+            rows.append((n, "w " * words, f"s{i}"))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mixed(docs).collect()
+    order = {f"s{i}": s for i, s in enumerate(sizes)}
+    want = water_filled(order, {s: 1 + i % 3 for i, s in enumerate(sorted(order))}, 3)
+    taken = Counter()
+    for r in got:
+        taken[rows[r.doc_id][2]] += r.taken
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(taken[s] - want[s]) <= max(1, 0.02 * want[s]) for s in want), (taken, want)

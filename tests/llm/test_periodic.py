@@ -148,3 +148,8 @@ def test_tails_of_odd_texts(spark):
     got = {r.doc_id: r.text for r in queries.with_periodic_tails(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[keys[0]] is None and got[keys[1]] == "" and got[keys[2]] == "one" and got[None] == "a b" and got[1] == "x  y"
     assert len(got[keys[3]].split()) == 10
+
+
+def test_clashing_names(spark):
+    got = P.with_runs(spark.createDataFrame([("a " * 9, 1, 2)], "text string, periodic int, _bytes int")).first()
+    assert (got.periodic, got._bytes, got.periodic_.n_runs) == (1, 2, 1)

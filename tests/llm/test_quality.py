@@ -59,3 +59,11 @@ def test_nothing_to_learn(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in Q.judged(docs, none).collect())
     assert got == [(0, 0, True, False), (1, 21, False, True), (1, 30, True, False)]
     assert Q.judged(docs.limit(0), none).count() == 0 and Q.kept_rows(docs.limit(0), none).count() == 0
+
+
+def test_clashing_names_pass(spark):
+    text = "a b c d e f g h " * 3
+    df = spark.createDataFrame([("x", text, 1, 2, 3, 4)], "n_words string, text string, _w int, _l int, N_WORDS_ int, _row int")
+    r = Q.word_features(df).first()
+    assert (r.n_words, r._w, r._l, r.N_WORDS_, r._row, r.n_words__, r.n_repeat_words) == (24, 1, 2, 3, 4, "x", 24)
+    assert Q.word_features(df.select("text")).columns == ["n_symbols", "n_words", "word_chars", "n_dup_lines", "n_repeat_words"]
