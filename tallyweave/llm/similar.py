@@ -7,7 +7,8 @@ follows from their sizes. Long texts have a second, wide fingerprint of two bits
 
 1. Candidates share one of the first digests of either set in one order (prefix filter), of sets close in size.
 2. Pivot distance tables: the distances of each fingerprint to ``PIVOTS`` references are computed once; pairs whose coordinates
-   differ by more than their radius anywhere are discarded, then pairs whose fingerprints do, then those whose wide ones do.
+   differ by more than their radius anywhere are discarded, then pairs whose fingerprints do, then those whose wide ones do
+   (in large groups at once, where they meet).
 3. Survivors are verified by the exact similarity of their texts' shingle sets.
 
 Each text is held against one text of each of its first digests. Texts that share a digest and that these links do not connect
@@ -35,10 +36,10 @@ SIMILAR = (4, 5)
 SHINGLE_WORDS = 5
 #: Bits of a parity fingerprint.
 BITS = 1024
-#: Texts, about, whose shingles are counted to find the common ones, and the count from which one is common. What is taken
-#: for common affects the size of groups only.
-SAMPLE_TEXTS = 8_000
-COMMON = 3
+#: Shingles are counted in so many texts, about, or in one of ``SAMPLE_OF``, if these are more; from ``COMMON`` on one is common, and the
+#: ``MOST_COMMON`` most frequent ones at most are held as such. What is taken for common affects the size of groups only.
+SAMPLE_TEXTS, SAMPLE_OF = 8_000, 1_000
+COMMON, MOST_COMMON = 3, 2_000_000
 #: Texts that share a digest meet by a join up to this many, above it in blocks of ``BLOCK_ROWS``.
 GROUP_ROWS, BLOCK_ROWS = 4, 1024
 
@@ -86,6 +87,23 @@ def wide_within(x: bytes, n: int, y: bytes, m: int) -> bool:
     return int(np.bitwise_count(u ^ v).sum()) * (SIMILAR[0] + SIMILAR[1]) <= (n + m) * (SIMILAR[1] - SIMILAR[0])
 
 
+def wide_allowed(wide: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``wide_within`` of the pairs (a, b), as positions in the tables: a row is folded once for each size that it meets."""
+    length = np.array([len(w) for w in wide], np.int64)
+    shorter, keep = np.minimum(length[a], length[b]), np.ones(len(a), bool)
+    for size in np.unique(shorter[shorter > 0]).tolist():
+        at = np.flatnonzero(shorter == size)
+        rows, where = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(wide[r], np.uint64).reshape(-1, size // 8), axis=0) for r in rows.tolist()])
+        x, y = where[: len(at)], where[len(at) :]
+        step = max(1, (1 << 22) // size)
+        for low in range(0, len(at), step):
+            some = slice(low, low + step)
+            apart = np.bitwise_count(folded[x[some]] ^ folded[y[some]]).sum(axis=1, dtype=np.int64)
+            keep[at[some]] = apart * (SIMILAR[0] + SIMILAR[1]) <= (n[a[at[some]]] + n[b[at[some]]]) * (SIMILAR[1] - SIMILAR[0])
+    return keep
+
+
 def references(n: int = PIVOTS) -> np.ndarray:
     """The fingerprint without bits, from which the distance is the number of bits, and ``n - 1`` with half their bits, as bytes."""
     words = [[xxhash.xxh64_intdigest(f"reference {i} {j}", seed=SEED) for j in range(BITS // 64)] for i in range(n - 1)]
@@ -147,8 +165,12 @@ def alike(shared: int, n: int, m: int) -> bool:
 
 
 def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted digests, counts) of the shingles that ``COMMON`` or more of a sample of the texts hold."""
-    one_in = max(1, round(texts.count() / SAMPLE_TEXTS))
+    """(sorted digests, counts) of the shingles that ``COMMON`` or more of a sample of the texts hold.
+
+    The sample grows with the corpus, so that a shingle which is not found common stands in some thousands of texts at most; the
+    driver gets 32 MB, whatever the number and the length of the texts.
+    """
+    one_in = min(max(1, round(texts.count() / SAMPLE_TEXTS)), SAMPLE_OF)
 
     @F.pandas_udf("array<long>")
     def sets(column: pd.Series) -> pd.Series:
@@ -156,10 +178,10 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).dropDuplicates(["node"])
     rows = sample.select(F.explode(sets(F.col("t"))).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
-    found = rows.toPandas()
-    common = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(common)
-    return common[order], found["count"].to_numpy(np.int64)[order]
+    found = rows.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow()
+    common, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("h", "count"))
+    order = np.argsort(common.view(np.uint64))
+    return common.view(np.uint64)[order], counts[order]
 
 
 def _marked(texts: DataFrame, put: Put) -> DataFrame:
@@ -184,8 +206,8 @@ def _sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, marked: DataFrame, put: Put) -> DataFrame:
-    """The pairs (a, b) of texts whose shingle sets reach the least similarity: by the tables, then by the texts."""
+def _similar(pairs: DataFrame, held: DataFrame, marked: DataFrame, put: Put) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets reach the least similarity: by the tables, then by the texts (node, t), a row a node."""
 
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +234,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, marked: DataFrame, put: Put) ->
     met = _sides(pairs, marked.select("node", "n", "bits", "away"))
     near = put(met.mapInArrow(may_be, "a long, b long"), "near")
     close = put(_sides(near, marked.select("node", "n", "wide")).select("a", "b", "a_wide", "a_n", "b_wide", "b_n").mapInArrow(may_still, "a long, b long"), "close")
-    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = put(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "wanted")
-    return put(_sides(close, wanted).select("a", "b", "a_t", "b_t").mapInArrow(are, "a long, b long"), "similar")
+    return put(_sides(close, held).select("a", "b", "a_t", "b_t").mapInArrow(are, "a long, b long"), "similar")
 
 
 def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
@@ -224,9 +244,9 @@ def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
     Groups are dealt into blocks by node, each pair of blocks is a row: a task holds two blocks at a time.
     """
     n_blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    rows = crowded.join(marked.select("node", "n", "bits", "away"), "node")
+    rows = crowded.join(marked.select("node", "n", "bits", "away", "wide"), "node")
     own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    dealt = rows.select("h", F.struct("node", "label", "n", "bits", "away").alias("x"), own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    dealt = rows.select("h", F.struct("node", "label", "n", "bits", "away", "wide").alias("x"), own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
     lists = dealt.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("x").alias("xs")).select("xs")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +255,7 @@ def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
             flat = batch.column(0).flatten()
             nodes, labels = (np.asarray(flat.field(c)) for c in ("node", "label"))
             bits, away, n = _tables(flat)
+            wide = flat.field("wide").to_pylist()
             found = [(np.empty(0, np.int64),) * 2]
             for low, high in zip(starts, starts[1:], strict=False):
                 label, pairs = labels[low:high], [(np.empty(0, np.int64),) * 3]
@@ -244,6 +265,8 @@ def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
                     a, b = a[other], b[other]
                     some, apart = within(bits[low:high], away[low:high], n[low:high], a, b)
                     a, b = a[some], b[some]
+                    some = wide_allowed(wide[low:high], n[low:high], a, b)
+                    a, b, apart = a[some], b[some], apart[some]
                     if forest and len(a):
                         some = joining(label, a, b, apart, n[low + a] + n[low + b])
                         a, b, apart = a[some], b[some], apart[some]
@@ -278,10 +301,12 @@ def similar_links(texts: DataFrame, put: Put) -> DataFrame:
     leads = put(posts.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("h", "lead"), "leads")
     shared = put(posts.join(leads, "h"), "shared")
     tested = put(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    links = _similar(tested, texts, marked, put)
+    # the texts that share a first digest with another, once: all later pairs are between these
+    held = put(texts.where("t <> ''").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "held")
+    links = _similar(tested, held, marked, put)
     crowded = _apart(shared, links, put).where(F.col("members") > GROUP_ROWS)
     closest = put(_blocks(crowded, marked, True).join(tested, ["a", "b"], "left_anti"), "closest")
-    links, tested = links.unionAll(_similar(closest, texts, marked, put)), tested.unionAll(closest)
+    links, tested = links.unionAll(_similar(closest, held, marked, put)), tested.unionAll(closest)
     apart = _apart(shared, links, put)
     few = apart.where(F.col("members") <= GROUP_ROWS)
     x, y = few.alias("x"), few.alias("y")
@@ -293,7 +318,7 @@ def similar_links(texts: DataFrame, put: Put) -> DataFrame:
     may_be = (F.col("both") + F.greatest(behind(F.col("a_n")), behind(F.col("b_n")))) * (p + q) >= p * (F.col("a_n") + F.col("b_n"))
     small = _sides(met, marked.select("node", "n")).where(may_be).select("a", "b")
     rest = small.unionAll(_blocks(apart.where(F.col("members") > GROUP_ROWS), marked, False)).distinct().join(tested, ["a", "b"], "left_anti")
-    return links.unionAll(_similar(rest, texts, marked, put))
+    return links.unionAll(_similar(rest, held, marked, put))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
