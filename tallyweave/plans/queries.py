@@ -464,9 +464,12 @@ def multivolume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.multivolume(b.table(spark, sf_dir, "part").select("p_partkey", name.alias("path"))).select("p_partkey")
 
 
-@query("""SELECT '/in/x' AS scope, count(*) AS n FROM part""")
+@query("""SELECT '/in/' || p_brand || CASE WHEN count(DISTINCT p_type) = 1 THEN '/' || min(p_type) ELSE '' END AS scope, count(*) AS n FROM part WHERE p_brand = (SELECT arg_max(p_brand, p_partkey) FROM part) GROUP BY p_brand""")
 def common_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.common_scope(b.table(spark, sf_dir, "part").select(F.concat(F.lit("/in/x/"), "p_type", F.lit("/"), "p_partkey").alias("path")))
+    """The scope of the newest part's brand."""
+    p = b.table(spark, sf_dir, "part")
+    brand = p.join(p.agg(F.max_by("p_brand", "p_partkey").alias("p_brand")), "p_brand", "left_semi")
+    return report.common_scope(brand.select(F.concat_ws("/", F.lit("/in"), "p_brand", "p_type", "p_partkey").alias("path")))
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS path, arg_max(event_type, ts) AS format, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY user_id""")
@@ -476,9 +479,12 @@ def source_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.upsert_sources(old, e.where("event_id % 2 = 1").drop("event_id"))
 
 
-@query("""SELECT count(*) AS n, 'documents' AS "table" FROM documents UNION ALL SELECT count(*), 'part' FROM part UNION ALL SELECT count(*), 'events' FROM events""")
+_TABLES = ("documents", "part", "events", "orders", "lineitem", "customer", "supplier", "nation")
+
+
+@query(" UNION ALL ".join(f"SELECT count(*) AS n, '{t}' AS \"table\" FROM {t}" for t in _TABLES))
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.table_counts({k: b.table(spark, sf_dir, k) for k in ("documents", "part", "events")})
+    return report.table_counts({k: b.table(spark, sf_dir, k) for k in _TABLES})
 
 
 @query("""SELECT count(DISTINCT user_id) AS reviewed FROM events""")
