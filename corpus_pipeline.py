@@ -17,7 +17,11 @@ from tallyweave.llm.shared import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a learned rule go."""
+    """Documents that fail the base rule or a learned rule go.
+
+    A null or empty text fails the base rule. Rows that repeat are judged alike, null keys like others; with no labels only the base rule
+    counts. An empty table stays empty, further columns pass, whatever their names.
+    """
     return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,7 +33,11 @@ SOURCE_MIN_DOCS, LINE_MIN_DOCS = 5, 20
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat go, first within a source's documents of a language, then over all sources of a language;
-    every document stays, with its new number of characters."""
+    every document stays, with its new number of characters.
+
+    Null and empty texts stay as they are; documents without a source or language form groups of their own. Copies of a document count their lines once;
+    of a line that goes, every repeat in a document goes. An empty table stays empty; further columns pass, whatever their names.
+    """
     columns = docs.columns
     cell = F.to_json(F.struct("source", "lang"))
     cleaned = linededup.deduplicated(docs, cell, "text", LINE_RATIO, SOURCE_MIN_DOCS, copies_once=True).select(*columns)
@@ -38,17 +46,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays: five-word shingles, similarity 0.8 or more, smallest doc_id."""
+    """One document of each group of copies stays: five-word shingles, similarity 0.8 or more, smallest doc_id.
+
+    Texts without words are copies of each other; null keys come last, equal keys by a digest of their text, exact repeats of a row leave one. An
+    empty table stays empty; all columns pass, whatever their names.
+    """
     return similar.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them: 0 to 3 times."""
+    """Documents as often as the source mix takes them: 0 to 3 times.
+
+    Null, empty and blank texts have no words and are left out; a null source is one of its own, last in order. Rows that share key and size share
+    their rounds. An empty table stays empty; all columns pass, whatever their names.
+    """
     return mixing.resampled(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their number and digests."""
+    """doc_id, source, n_tokens and the token ids of each document; none for a null or empty text. Repeated rows are encoded each."""
     path = vocabulary_path("word_bpe_49k.json")
     return bpe.encoded(docs.select("doc_id", "source", "text"), path, "text", "ids").select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -61,7 +77,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encode),
 ]
 
-#: Learned rules, near-copies and BPE are not expressible in SQL; tests hold each stage against brute force.
+#: Learned rules, near-copies and BPE are not expressible in SQL. In tests/llm the operators of the stages are held against brute force or the public
+#: library, and the stages as a whole against documents whose fate is planted.
 ORACLE_SQL: str | None = None
 
 
