@@ -57,3 +57,31 @@ def test_lines_that_repeat_thinly_go(spark):
     got = {r.doc_id: r.text for r in P.line_dedup(spark, docs, "").collect()}
     repeated = ("everywhere fr", "of it fr", "a note of this source")
     assert got == {r[0]: "\n".join(x for x in r[1].split("\n") if x not in repeated) for r in rows}
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and long texts, exact repeats, clashing names; then an empty table."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(i, text(60), "en" if i % 3 else None, f"s{i % 2}" if i % 5 else None) for i in range(60)]
+    rows += [(100, None, None, None), (101, "", "en", "s0"), (102, " \n\t", "en", "s0"), (None, text(50), None, None), (None, None, "en", "s1"), (103, text(20_000), "en", "s1")]
+    rows += [rows[7]] * 3 + [(200, rows[8][1], "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    df = df.withColumns({c: F.lit("x") for c in ("n_words", "_w", "_row", "size", "taken", "digest", "node", "n_lines", "_key", "host")})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 0, None), (5, None, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = df, {}
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "encode" or docs.columns == df.columns
+        seen[name] = [r.doc_id for r in docs.collect()]
+    assert sorted(seen["quality_rules"], key=str) == sorted([*range(60), None, 103, 7, 7, 7, 200], key=str)
+    assert sorted(seen["line_dedup"], key=str) == sorted(seen["quality_rules"], key=str)
+    assert sorted(seen["near_dedup"], key=str) == sorted([*range(60), None, 103], key=str)
+    assert set(seen["encode"]) == set(seen["mix_sources"]) <= set(seen["near_dedup"])
+    empty = df.limit(0)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
