@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Order keys that cut the rows into ranges: the number of ranges less one, and the rows that the driver's side of the plan holds.
-CUTS = 256
+#: Keys that cut the rows into ranges are found among so many coarse ones, then among so many behind one of these.
+FAN = 64
+#: The most cuts, which are the rows that the driver's side of the plan holds; one range more.
+CUTS = FAN * FAN - 1
+
+
+def _range(cuts: Column, key: Column) -> Column:
+    """How many of the sorted ``cuts`` are not above the key, by two comparisons of ``FAN`` each."""
+    coarse = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.floor(F.size(cuts) / FAN).cast("int"), F.lit(1))), lambda i: F.get(cuts, i * FAN - 1) <= key))
+    return coarse * FAN + F.size(F.filter(F.slice(cuts, coarse * FAN + 1, F.lit(FAN)), lambda c: c <= key))
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``df`` with ``out``, the place of a row by the columns ``order``, from 1; nulls come first.
 
-    Ranges are cut by ``CUTS`` order keys chosen by digest, so they are the same whenever the plan is evaluated. Rows are counted by
-    range, the counts run over the ranges, and rows run within their range. Rows that tie in all of ``order`` share a range; order by
-    a key to spread them.
+    Rows that tie stand in the order of a digest of their other columns, so a place depends on the rows alone, and a key that very many rows
+    share is spread over the ranges. Up to ``CUTS`` keys with the smallest digests cut the ranges: an even sample of the rows, the same
+    whenever the plan is evaluated. Rows are counted by range, the counts run over the ranges, and rows run within their range.
     """
-    key = F.struct(*order)
-    cuts = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(CUTS).agg(F.collect_set("k").alias("_cuts"))
-    ranged = df.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in order and "map<" not in kind]
+    tied = df.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0).cast("long"))
+    by = [*order, "_tie"]
+    key = F.struct(*by)
+    chosen = tied.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(CUTS)
+    cuts = chosen.agg(F.sort_array(F.collect_set("k")).alias("_cuts"))
+    ranged = tied.join(F.broadcast(cuts)).withColumn("_range", _range(F.col("_cuts"), key)).drop("_cuts")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range: CUTS + 1 at most
     bases = counts.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_range").orderBy(*order)
-    return ranged.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(bases), "_range").withColumn(out, F.col("_base") + F.col("_in")).drop("_range", "_base", "_in")
+    inside = Window.partitionBy("_range").orderBy(*by)
+    return ranged.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(bases), "_range").withColumn(out, F.col("_base") + F.col("_in")).drop("_range", "_base", "_in", "_tie")

@@ -168,3 +168,15 @@ def test_numbering_is_the_order_of_all_rows(spark):
     assert numbering.numbered(df.where("a < 0"), ["a"], "place").count() == 0
     tied = numbering.numbered(spark.createDataFrame([(1,)] * 5, "a int"), ["a"], "place")
     assert sorted(r.place for r in tied.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_numbering_spreads_ties_and_cuts_finely(spark, monkeypatch):
+    """A key that most rows share, with many cuts and with few: places agree and depend on the rows alone."""
+    rows = [(7, f"r{i}") for i in range(900)] + [(i, f"s{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, name string")
+    one = {r.name: r.place for r in numbering.numbered(df, ["a"], "place").collect()}
+    assert sorted(one.values()) == list(range(1, 1201))
+    of = dict((n, a) for a, n in rows)
+    assert all(of[x] <= of[y] for x, y in zip(sorted(one, key=one.get), sorted(one, key=one.get)[1:], strict=False))
+    monkeypatch.setattr(numbering, "CUTS", 130)
+    assert {r.name: r.place for r in numbering.numbered(df.repartition(5), ["a"], "place").collect()} == one
