@@ -40,6 +40,8 @@ BITS = 1024
 #: ``MOST_COMMON`` most frequent ones at most are held as such. What is taken for common affects the size of groups only.
 SAMPLE_TEXTS, SAMPLE_OF = 8_000, 1_000
 COMMON, MOST_COMMON = 3, 2_000_000
+#: Buckets of texts' names, of which those that are wanted are broadcast: 16 MB at most.
+BUCKETS = 1 << 20
 #: Texts that share a digest meet by a join up to this many, above it in blocks of ``BLOCK_ROWS``.
 GROUP_ROWS, BLOCK_ROWS = 4, 1024
 
@@ -206,8 +208,19 @@ def _sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b")
 
 
-def _similar(pairs: DataFrame, held: DataFrame, marked: DataFrame, put: Put) -> DataFrame:
-    """The pairs (a, b) of texts whose shingle sets reach the least similarity: by the tables, then by the texts (node, t), a row a node."""
+def fetched(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts (node, t) of ``nodes``, a row a node.
+
+    Nodes fall into ``BUCKETS`` buckets by their last bits. The buckets that are wanted, whose number is bounded, are broadcast, so that texts of
+    others are not shuffled; where nearly all are wanted, the join does it all.
+    """
+    bucket = F.col("node").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
+    near = texts.withColumn("bucket", bucket).join(F.broadcast(nodes.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    return near.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, marked: DataFrame, put: Put) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets reach the least similarity: by the tables, then by the texts."""
 
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +247,9 @@ def _similar(pairs: DataFrame, held: DataFrame, marked: DataFrame, put: Put) ->
     met = _sides(pairs, marked.select("node", "n", "bits", "away"))
     near = put(met.mapInArrow(may_be, "a long, b long"), "near")
     close = put(_sides(near, marked.select("node", "n", "wide")).select("a", "b", "a_wide", "a_n", "b_wide", "b_n").mapInArrow(may_still, "a long, b long"), "close")
-    return put(_sides(close, held).select("a", "b", "a_t", "b_t").mapInArrow(are, "a long, b long"), "similar")
+    nodes = put(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    wanted = put(fetched(texts, nodes), "wanted")
+    return put(_sides(close, wanted).select("a", "b", "a_t", "b_t").mapInArrow(are, "a long, b long"), "similar")
 
 
 def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
@@ -301,12 +316,10 @@ def similar_links(texts: DataFrame, put: Put) -> DataFrame:
     leads = put(posts.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("h", "lead"), "leads")
     shared = put(posts.join(leads, "h"), "shared")
     tested = put(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    # the texts that share a first digest with another, once: all later pairs are between these
-    held = put(texts.where("t <> ''").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "held")
-    links = _similar(tested, held, marked, put)
+    links = _similar(tested, texts, marked, put)
     crowded = _apart(shared, links, put).where(F.col("members") > GROUP_ROWS)
     closest = put(_blocks(crowded, marked, True).join(tested, ["a", "b"], "left_anti"), "closest")
-    links, tested = links.unionAll(_similar(closest, held, marked, put)), tested.unionAll(closest)
+    links, tested = links.unionAll(_similar(closest, texts, marked, put)), tested.unionAll(closest)
     apart = _apart(shared, links, put)
     few = apart.where(F.col("members") <= GROUP_ROWS)
     x, y = few.alias("x"), few.alias("y")
@@ -318,7 +331,7 @@ def similar_links(texts: DataFrame, put: Put) -> DataFrame:
     may_be = (F.col("both") + F.greatest(behind(F.col("a_n")), behind(F.col("b_n")))) * (p + q) >= p * (F.col("a_n") + F.col("b_n"))
     small = _sides(met, marked.select("node", "n")).where(may_be).select("a", "b")
     rest = small.unionAll(_blocks(apart.where(F.col("members") > GROUP_ROWS), marked, False)).distinct().join(tested, ["a", "b"], "left_anti")
-    return links.unionAll(_similar(rest, held, marked, put))
+    return links.unionAll(_similar(rest, texts, marked, put))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
