@@ -283,10 +283,16 @@ def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
 
 
 def _apart(shared: DataFrame, links: DataFrame, put: Put) -> DataFrame:
-    """(h, node, label, members) of the groups in which links leave texts apart; label by what links connect."""
+    """(h, node, label, members, times) of the groups in which links leave texts apart; label by what links connect.
+
+    Digests whose groups hold the same texts (a passage has many) are one group, ``times`` is their number. Groups are told by size and
+    two 64-bit digests of their texts.
+    """
     labels = put(components(links, put), "labels")
     at = shared.join(labels, shared.node == labels.node_, "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-    mixed = put(at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).where("x < y").select("h", "members"), "mixed")
+    told = (F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"))
+    mixed = at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"), *told).where("x < y")
+    mixed = put(mixed.groupBy("members", "u", "v").agg(F.min("h").alias("h"), F.count("*").alias("times")).select("h", "members", "times"), "mixed")
     return put(at.join(mixed, "h"), "apart")
 
 
@@ -311,7 +317,7 @@ def similar_links(texts: DataFrame, put: Put) -> DataFrame:
     few = apart.where(F.col("members") <= GROUP_ROWS)
     x, y = few.alias("x"), few.alias("y")
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("both"))
+    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum("x.times").alias("both"))
     # both: the first digests that a pair shares, unless a large group has the pair, too, which finds it there. All that sets
     # share lies in both prefixes or behind one of them
     behind = lambda n: F.ceil(n * p / q) - 1
