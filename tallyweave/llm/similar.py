@@ -234,7 +234,10 @@ def _similar(pairs: DataFrame, held: DataFrame, marked: DataFrame, put: Put) ->
     met = _sides(pairs, marked.select("node", "n", "bits", "away"))
     near = put(met.mapInArrow(may_be, "a long, b long"), "near")
     close = put(_sides(near, marked.select("node", "n", "wide")).select("a", "b", "a_wide", "a_n", "b_wide", "b_n").mapInArrow(may_still, "a long, b long"), "close")
-    return put(_sides(close, held).select("a", "b", "a_t", "b_t").mapInArrow(are, "a long, b long"), "similar")
+    nodes = put(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    # Spark broadcasts the names where they are few: then only their texts travel; else both sides take them from one exchange
+    wanted = held.join(nodes, "node", "left_semi")
+    return put(_sides(close, wanted).select("a", "b", "a_t", "b_t").mapInArrow(are, "a long, b long"), "similar")
 
 
 def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
