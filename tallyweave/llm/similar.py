@@ -3,7 +3,7 @@
 SimHash bits bound no similarity: of 48 pairs of 0.8 or more, 128 bits linked 42, and 219 pairs below. The fingerprint here is
 the *parity fingerprint*: bit ``h mod BITS`` is the parity of the digests that fall on it, so the Hamming distance of two
 fingerprints never exceeds the symmetric difference of the sets, and sets of the least similarity lie within a radius that
-follows from their sizes. Long texts have a second, wide fingerprint of two bits a shingle or more. Hence, without any loss:
+follows from their sizes. Long texts have a second, wide fingerprint of one bit a shingle or more. Hence, without any loss:
 
 1. Candidates share one of the first digests of either set in one order (prefix filter), of sets close in size.
 2. Pivot distance tables: the distances of each fingerprint to ``PIVOTS`` references are computed once; pairs whose coordinates
@@ -70,9 +70,9 @@ def parity(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def wide_parity(hashes: np.ndarray) -> bytes:
-    """The fingerprint of a large set with at least two bits for each digest; empty where ``BITS`` are as many."""
+    """The fingerprint of a large set with at least one bit for each digest; empty where ``BITS`` are as many."""
     bits = BITS
-    while bits < 2 * len(hashes):
+    while bits < len(hashes):
         bits *= 2
     return parity(hashes, bits).tobytes() if bits > BITS else b""
 
