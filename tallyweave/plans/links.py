@@ -33,7 +33,7 @@ SELECT CAST(lone.k AS VARCHAR) AS source_id, 'work:' || p.p_partkey || ':book_wo
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by similar titles and a shared creator, for sources that have no pair by an equal title."""
     ladder, found = candidates.query_ladder(_misspelt(spark, sf_dir)), b.part_candidates(spark, sf_dir)
-    exact = candidates.title_pairs(ladder, found)
+    exact = candidates.title_links(ladder, found).reached()
     return candidates.similar_pairs(ladder, found, exact).select("source_id", "candidate_key")
 
 
