@@ -6,16 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keys that cut the rows into ranges are found among so many coarse ones, then among so many behind one of these.
-FAN = 64
+#: The bits of a step's number: keys that cut the rows into ranges are found among so many coarse ones, then among so many behind one of these.
+BITS = 6
+FAN = 2**BITS
 #: The most cuts, which are the rows that the driver's side of the plan holds; one range more.
 CUTS = FAN * FAN - 1
 
 
-def _range(cuts: Column, key: Column) -> Column:
-    """How many of the sorted ``cuts`` are not above the key, by two comparisons of ``FAN`` each."""
-    coarse = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.floor(F.size(cuts) / FAN).cast("int"), F.lit(1))), lambda i: F.get(cuts, i * FAN - 1) <= key))
-    return coarse * FAN + F.size(F.filter(F.slice(cuts, coarse * FAN + 1, F.lit(FAN)), lambda c: c <= key))
+def _not_above(cuts: str, key: Column) -> Column:
+    """How many of the sorted cuts, fewer than ``FAN``, are not above the key, by one comparison for each bit of the number.
+
+    The key goes in as an array of one, so that it is made once and not for each comparison.
+    """
+    steps = F.array(*(F.lit(2**n) for n in reversed(range(BITS))))
+    search = lambda k: F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(cuts, low + step - 1) <= k, low + step).otherwise(low))
+    return F.transform(F.array(key), search)[0]
+
+
+def _ranged(rows: DataFrame, key: Column, cuts: DataFrame) -> DataFrame:
+    """``rows`` with ``_range``: how many of the sorted ``_cuts`` are not above the key.
+
+    A row meets the coarse cuts and the fine ones behind one of them, never all: what a join adds to a row is copied with it.
+    """
+    coarse = cuts.select(F.filter("_cuts", lambda c, i: i % FAN == FAN - 1).alias("_coarse"))
+    fine = cuts.select("_cuts", F.explode(F.sequence(F.lit(0), F.floor(F.size("_cuts") / FAN).cast("int"))).alias("_group")).select("_group", F.slice("_cuts", F.col("_group") * FAN + 1, F.lit(FAN - 1)).alias("_fine"))
+    grouped = rows.join(F.broadcast(coarse)).withColumn("_group", _not_above("_coarse", key)).drop("_coarse")
+    return grouped.join(F.broadcast(fine), "_group").withColumn("_range", F.col("_group") * FAN + _not_above("_fine", key)).drop("_group", "_fine")
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -31,7 +47,7 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     key = F.struct(*by)
     chosen = tied.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(CUTS)
     cuts = chosen.agg(F.sort_array(F.collect_set("k")).alias("_cuts"))
-    ranged = tied.join(F.broadcast(cuts)).withColumn("_range", _range(F.col("_cuts"), key)).drop("_cuts")
+    ranged = _ranged(tied, key, cuts)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range: CUTS + 1 at most
     bases = counts.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
