@@ -129,29 +129,46 @@ def abandonable(apply_runs: DataFrame, apply_items: DataFrame, plans: DataFrame)
     return met.select("plan_id", "run_id", ((F.col("status") != "complete") & F.col("digest").eqNullSafe(F.col("sha256")) & (F.size(unsafe_items) == 0)).alias("abandonable"), unsafe_items.alias("unsafe"))
 
 
-def quota_probes(probes: DataFrame, log: DataFrame, blocks: DataFrame, policies: DataFrame) -> DataFrame:
+#: Slots that a window is cut into.
+SLOTS = 16
+
+
+def quota_probes(probes: DataFrame, log: DataFrame, blocks: DataFrame, policies: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``probes`` (provider, bucket, at) with ``in_window``, ``wait`` and ``allowed`` against the log of granted requests.
 
     A probe sees the requests of its last window (strictly later than its start, up to now). It waits for a block to end, for the least
     gap since the last request, and, with the window full, for the oldest to leave it. ``policies`` (provider, bucket, max_requests,
-    window_seconds, min_interval) is short. Blocks only lengthen: the largest end counts. The range join is cut into buckets of a window's length,
-    so that a probe meets only the two around it.
+    window_seconds, min_interval) is short. Blocks only lengthen: the largest end counts. Probes and requests of one instant are one; as in
+    ``quota_log_audit``, counts are differences of running totals in two levels, so no probe meets the requests of its window.
     """
     key = ["provider", "bucket"]
     rules = F.broadcast(policies)
-    asked = probes.join(rules, key).withColumn("_slot", F.floor(F.col("at") / F.col("window_seconds")))
-    seen = asked.withColumn("_s", F.explode(F.array(F.col("_slot"), F.col("_slot") - 1)))
-    granted = log.join(rules, key).select(*key, "reserved_at", F.floor(F.col("reserved_at") / F.col("window_seconds")).alias("_s"))
-    met = seen.join(granted, [*key, "_s"], "left").withColumn("_r", F.when((F.col("reserved_at") > F.col("at") - F.col("window_seconds")) & (F.col("reserved_at") <= F.col("at")), F.col("reserved_at")))
-    counted = met.groupBy(*key, "at", "max_requests", "window_seconds", "min_interval").agg(F.count("_r").alias("in_window"), F.min("_r").alias("_first"), F.max("_r").alias("_last"))
-    ends = blocks.groupBy(*key).agg(F.max("blocked_until").alias("_until"))
+    by = [*key, "window_seconds"]
+    windows = F.broadcast(policies.select(*by).distinct())
+    asked = probes.join(rules, key)
+    granted = log.where("reserved_at is not null").groupBy(*key, F.col("reserved_at").alias("p")).agg(F.count("*").alias("n")).join(windows, key)
+    instants = probes.where("at is not null").select(*key, "at").distinct().join(windows, key)
+    none = F.lit(None).cast("double")
+    ends = F.array(F.struct(F.lit(False).alias("_start"), F.col("at").alias("p")), F.struct(F.lit(True).alias("_start"), (F.col("at") - F.col("window_seconds")).alias("p")))
+    points = instants.select(*by, "at", F.explode(ends).alias("x")).select(*by, "at", "x._start", "x.p", F.lit(0).cast("long").alias("n"), none.alias("r"))
+    both = granted.select(*by, none.alias("at"), F.lit(False).alias("_start"), "p", "n", F.col("p").alias("r")).unionByName(points).withColumn("_slot", F.floor(F.col("p") / (F.col("window_seconds") / slots)))
+    inside = Window.partitionBy(*by, "_slot")
+    behind = inside.orderBy(F.desc("p"), F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)  # of an instant, points before requests
+    ran = both.withColumn("_in", F.sum("n").over(inside.orderBy("p"))).withColumn("_last", F.max("r").over(inside.orderBy("p"))).withColumn("_next", F.min("r").over(behind)).where("at is not null")
+    slot = Window.partitionBy(*by)  # a row for each slot that has one
+    earlier, later = (slot.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_slot"), F.desc("_slot")))
+    totals = both.groupBy(*by, "_slot").agg(F.sum("n").alias("_sum"), F.max("r").alias("_max"), F.min("r").alias("_min"))
+    bases = totals.select(*by, "_slot", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.max("_max").over(earlier).alias("_before"), F.min("_min").over(later).alias("_after"))
+    met = ran.join(bases, [*by, "_slot"]).select(*by, "at", "_start", (F.col("_in") + F.col("_base")).alias("_upto"), F.coalesce("_last", "_before").alias("_last"), F.coalesce("_next", "_after").alias("_next"))
+    of = lambda start, c: F.max(F.when(F.col("_start") == start, F.col(c)))
+    counted = met.groupBy(*by, "at").agg((of(False, "_upto") - of(True, "_upto")).alias("in_window"), of(True, "_next").alias("_first"), of(False, "_last").alias("_last"))
+    seen = F.col("in_window") > 0
+    counted = counted.select(*by, "at", "in_window", F.when(seen, F.col("_first")).alias("_first"), F.when(seen, F.col("_last")).alias("_last"))
+    until = blocks.groupBy(*key).agg(F.max("blocked_until").alias("_until"))
     zero = F.lit(0.0)
     waits = F.greatest(zero, F.coalesce(F.col("_until") - F.col("at"), zero), F.coalesce(F.col("_last") + F.col("min_interval") - F.col("at"), zero), F.when(F.col("in_window") >= F.col("max_requests"), F.col("_first") + F.col("window_seconds") - F.col("at")).otherwise(zero))
-    return counted.join(ends, key, "left").select(*key, "at", "in_window", waits.alias("wait")).withColumn("allowed", F.col("wait") <= 0)
-
-
-#: Slots that a window is cut into.
-SLOTS = 16
+    got = asked.join(counted, [*by, "at"], "left").join(until, key, "left").withColumn("in_window", F.coalesce("in_window", F.lit(0).cast("long")))
+    return got.select(*probes.columns, "in_window", waits.alias("wait")).withColumn("allowed", F.col("wait") <= 0)
 
 
 def quota_log_audit(log: DataFrame, window_seconds: int, key: tuple[str, ...] = ("provider", "bucket"), at: str = "reserved_at", slots: int = SLOTS) -> DataFrame:

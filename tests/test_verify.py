@@ -105,6 +105,24 @@ def test_rolling_quota(spark):
     assert report.quota_probes(probe(t + 210), log, blocks, policies).first().wait == 60.0
 
 
+def test_rolling_quota_of_shared_instants(spark):
+    """Probes of one instant do not multiply what they see, and each keeps its row; against brute force."""
+    policies = spark.createDataFrame([("p", "b", 4, 100.0, 2.0), ("q", "b", 1, 7.0, 0.0)], "provider string, bucket string, max_requests int, window_seconds double, min_interval double")
+    rule = {"p": (4, 100.0, 2.0), "q": (1, 7.0, 0.0)}
+    log = [("pq"[i % 2], "b", float(i * 37 % 450 - 50)) for i in range(120)] + [("p", "b", 60.0)] * 3 + [("p", "b", None)]
+    probes = [(i, "pq"[i % 2], "b", float(i * 53 % 600)) for i in range(90)] + [(100 + i, "p", "b", 160.0) for i in range(3)] + [(110, "q", "b", None), (111, "p", "b", -900.0)]
+    none = spark.createDataFrame([], "provider string, bucket string, blocked_until double")
+    got = report.quota_probes(spark.createDataFrame(probes, "id int, provider string, bucket string, at double"), spark.createDataFrame(log, "provider string, bucket string, reserved_at double"), none, policies)
+
+    def want(provider, at):
+        most, width, gap = rule[provider]
+        seen = [r for p, _, r in log if p == provider and r is not None and at is not None and at - width < r <= at]
+        wait = max([0.0] + ([max(seen) + gap - at] if seen else []) + ([min(seen) + width - at] if len(seen) >= most else []))
+        return len(seen), wait, wait <= 0
+
+    assert {r.id: (r.in_window, r.wait, r.allowed) for r in got.collect()} == {i: want(p, at) for i, p, _, at in probes} and got.count() == len(probes)
+
+
 def test_reports(spark):
     audit = spark.createDataFrame([("a", True, True, False, [], 1, 0, "accepted", "unresolved", "issue"), ("b", False, None, None, None, 0, 1, None, None, "collected-edition"), ("c", True, False, True, ["collected edition cannot resolve to a regular issue"], 1, 1, None, None, "collected-edition")], "id string, has_candidate boolean, eligible boolean, hard_contradiction boolean, contradictions array<string>, available int, unavailable int, work_state string, edition_state string, subtype string")
     r = report.match_summary(audit).first().asDict()
