@@ -88,6 +88,22 @@ def test_ladder(spark):
     assert len({(t.lower(), lab.endswith("title-only")) for lab, t in got}) == len(got)
 
 
+def test_collection_ladder_stays_in_its_rows(spark):
+    """Variants are told apart within the row of their edition: nothing is shuffled or sorted, so no task holds more than a row's."""
+    kind = "source_id string, kind string, subtype string, title string, series_title string, creators array<string>, sequence struct<normalized: string>, edition_qualifiers array<string>"
+    local = spark.createDataFrame([("a", "comic", "collected-edition", "SAGA", "Saga", [], (None,), ["Omnibus"]), ("b", "comic", "collected-edition", "Volume 2", "Saga", ["Ann Lee"], ("2",), None)], kind)
+    ladder = candidates.collection_ladder(local)
+    plan = ladder._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Window"))
+    got = sorted((r.source_id, r.ordinal, r.label, r.title, r.creators) for r in ladder.collect())
+    names = ["Ann Lee"]
+    assert got[0] == ("a", 0, "structured", "SAGA", []) and [x[0] for x in got].count("a") == 1
+    assert got[1:] == [
+        ("b", 0, "structured", "Saga Volume 2", names), ("b", 1, "structured-title-only", "Saga Volume 2", []), ("b", 2, "vol", "Saga Vol. 2", names), ("b", 3, "vol-title-only", "Saga Vol. 2", []), ("b", 4, "vol-comma", "Saga, Vol. 2", names), ("b", 5, "vol-comma-title-only", "Saga, Vol. 2", []),
+        ("b", 8, "creator-inline", "Saga by Ann Lee Volume 2", names), ("b", 10, "creator-inline-word-number", "Saga by Ann Lee Volume Two", names),
+    ]
+
+
 def test_tiers(spark):
     local = table(spark, LOCAL, [BOOK | {"source_id": "a", "identifiers": [("isbn", "1")]}, BOOK | {"source_id": "b"}, BOOK | {"source_id": "c", "title": "Odyssey retold"}])
     found = table(spark, CANDIDATES, [EDITION | {"identifiers": [("isbn", "1")], "title": "Other"}, EDITION | {"candidate_key": "k2"}])
