@@ -15,7 +15,7 @@ _PARTS = f"WITH p AS (SELECT p_partkey AS k, p_type, {_N} AS n FROM part)"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.initcap("p_name").alias("n"), "p_type")
+    return b.spread(b.table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("k"), F.initcap("p_name").alias("n"), "p_type")
 
 
 def _shape(of: int, *shapes: str) -> Column:

@@ -144,3 +144,14 @@ def test_local_identity(spark):
     rows = names.classify(names.parse_book_names(names.parse_comic_names(df)))
     r = candidates.local_identity(rows, writer="writer", identifiers="ids", gtin="gtin").first()
     assert (r.kind, r.subtype, r.series_title, r.sequence.normalized, r.creators, [tuple(i) for i in r.identifiers]) == ("comic", "issue", "Saga", "2", ["Ann", "Bob"], [("isbn", "9780140268867"), ("gtin", "77")])
+
+
+def test_classes_search_a_name_once(spark):
+    """Each signal is a column that scores and hypotheses share, and the work on names is dealt to tasks whatever the splits of the file."""
+    from conftest import SF
+    from tallyweave.plans import shapes
+
+    plan = shapes.classified(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("watchmen") == 1 and plan.count("handbook|manual") == 1
+    for q in (shapes.classified, shapes.local_identities, shapes.evidence_rows):
+        assert "RepartitionByExpression" in q(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
