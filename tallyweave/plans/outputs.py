@@ -259,5 +259,5 @@ def accepted_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 5 > 0 THEN p_name END NULLS LAST, CASE WHEN p_size % 3 > 0 THEN p_size END NULLS LAST, 'd/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')) AS place FROM part""")
 def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as items of a plan; some have no series, some no number."""
-    items = b.spread(b.table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.when(F.col("p_size") % 5 > 0, F.initcap("p_name")).alias("series_title"), sequence_struct(F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("string"))).alias("sequence"), F.concat(F.lit("d/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("destination_path"))
+    items = b.table(spark, sf_dir, "part").repartition("p_partkey").select("p_partkey", F.when(F.col("p_size") % 5 > 0, F.initcap("p_name")).alias("series_title"), sequence_struct(F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("string"))).alias("sequence"), F.concat(F.lit("d/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("destination_path"))
     return rank.display_order(items).select("p_partkey", "place")
