@@ -23,7 +23,7 @@ def _pick(n: Column, *values: object) -> Column:
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("k")
-    p = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 2 == 1).alias("collected"))
+    p = b.spread(b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 2 == 1).alias("collected")), "k")
     at = lambda div, mod: F.floor(k / div) % mod
     none = lambda kind: F.lit(None).cast(kind)
     name, other = F.lit("abcdefghij"), _pick(at(2, 4), "abcdefghij", "abcdefghix", "abcdefghxy", "zwvutsrqpo")
@@ -53,21 +53,25 @@ _RULES = """WITH p AS (SELECT p_partkey AS k, p_partkey % 2 = 1 AS collected FRO
 _FIELDS = ("identifier", "title", "issue_title", "creators", "publisher", "edition_qualifier", "sequence", "year", "run_start_year")
 
 
-def _compared(spark: SparkSession, sf_dir: str, exchange: bool = False) -> DataFrame:
+def _compared(spark: SparkSession, sf_dir: str, exchange: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Parts with their candidates by class, and the scores of the classes that meet."""
     local, found = _parts(spark, sf_dir)
     blocked = found.select(F.col("provider_id").alias("source_id"), "candidate_key", F.lit("own").alias("strategy"))
-    return compare.score_pairs(candidates.pairs(local, found, blocked), exchange)
+    return rank.paired_scores(local, found, blocked, exchange)
 
 
 @query(f"""{_RULES} SELECT CAST(k AS VARCHAR) AS source_id, CAST(greatest(0, least(100, 40 + {" + ".join(f"coalesce({f}, 0)" for f in _FIELDS)})) AS DOUBLE) AS score, coalesce(identifier = -100, false) OR coalesce(sequence = -100, false) AS hard_contradiction FROM d""")
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir).select("l.source_id", "score", "hard_contradiction")
+    members, scores = _compared(spark, sf_dir)
+    return members.join(scores.select("a", "b", "score", "hard_contradiction"), ["a", "b"]).select("source_id", "score", "hard_contradiction")
 
 
 @query(f"""{_RULES}, u AS (UNPIVOT d ON {", ".join(_FIELDS)} INTO NAME field VALUE delta) SELECT field, CAST(delta AS DOUBLE) AS score_delta, count(*) AS n FROM u GROUP BY field, delta""")
 def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _compared(spark, sf_dir).select(F.explode("comparisons").alias("x"))
-    return rows.groupBy("x.field", "x.score_delta").agg(F.count("*").alias("n"))
+    members, scores = _compared(spark, sf_dir)
+    sizes = members.groupBy("a", "b").agg(F.count("*").alias("n"))
+    rows = scores.select("a", "b", F.explode("comparisons").alias("x")).join(sizes, ["a", "b"])
+    return rows.groupBy("x.field", "x.score_delta").agg(F.sum("n").alias("n"))
 
 
 # ---- files: documents as files of five kinds, every seventh unreadable

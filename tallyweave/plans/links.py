@@ -85,7 +85,9 @@ _COLLECTED = "k % 2 = 1"
  concat_ws('|', CASE WHEN identifier = -100 THEN 'conflicting exact upc identifiers' END, CASE WHEN sequence = -100 THEN 'sequence numbers conflict' END) AS contradictions FROM d""")
 def rule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of ``rule_scores``, their texts compared once per distinct pair."""
-    return _compared(spark, sf_dir, exchange=True).select("l.source_id", F.array_join("material_conflicts", "|").alias("material"), F.array_join("contradictions", "|").alias("contradictions"))
+    members, scores = _compared(spark, sf_dir, exchange=True)
+    told = scores.select("a", "b", F.array_join("material_conflicts", "|").alias("material"), F.array_join("contradictions", "|").alias("contradictions"))
+    return members.join(told, ["a", "b"]).select("source_id", "material", "contradictions")
 
 
 @query("""SELECT p_partkey, NOT (p_partkey % 2 = 0 AND p_partkey % 5 < 3 AND p_size % 3 = 0) AS ready FROM part""")
