@@ -236,21 +236,23 @@ def linked_pairs(distinct: DataFrame, rule: Rule, put: Put) -> DataFrame:
     return rows.mapInArrow(links, "a long, b long").distinct()
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether distinct edges (hi, lo) are stars around their smallest nodes: none stands below one node and above another, or above two."""
+    end = lambda c, above: F.struct(F.col(c).alias("node"), F.lit(above).alias("above"))
+    ends = edges.select(F.explode(F.array(end("hi", 1), end("lo", 0))).alias("e")).groupBy("e.node").agg(F.sum("e.above").alias("above"), F.min("e.above").alias("least"))
+    return not ends.where("above > 1 or above > least").count()
+
+
 def components(pairs: DataFrame, put: Put) -> DataFrame:
     """(node_, label) of every node of ``pairs`` (a, b): label is the smallest node of its component.
 
     Alternating star steps: each round, neighbours above a node are moved to its smallest neighbour
-    (large star), then those below it (small star); the rounds are logarithmic in the longest chain. Every
-    round is a written table. What a join meets is written before it, so that Spark can split the rows of a node with very
+    (large star), then those below it (small star); the rounds are logarithmic in the longest chain, and none is spent on links that are
+    stars already. Every round is a written table. What a join meets is written before it, so that Spark can split the rows of a node with very
     many neighbours.
     """
     edges = put(pairs.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
-    seen = None
-    while True:
-        count, digest = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
-        if (count, digest) == seen or not count:
-            break
-        seen = (count, digest)
+    while not _starred(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = put(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")

@@ -285,8 +285,8 @@ def _blocks(crowded: DataFrame, marked: DataFrame, forest: bool) -> DataFrame:
     return lists.mapInArrow(near, "a long, b long").distinct()
 
 
-def _apart(shared: DataFrame, links: DataFrame, put: Put) -> DataFrame:
-    """(h, node, label, members, times) of the groups in which links leave texts apart; label by what links connect.
+def _apart(shared: DataFrame, links: DataFrame, put: Put) -> tuple[DataFrame, DataFrame]:
+    """(h, node, label, members, times) of the groups in which links leave texts apart, label by what links connect; and links as stars, which connect the same.
 
     Digests whose groups hold the same texts (a passage has many) are one group, ``times`` is their number. Groups are told by size and
     two 64-bit digests of their texts.
@@ -296,13 +296,13 @@ def _apart(shared: DataFrame, links: DataFrame, put: Put) -> DataFrame:
     told = (F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"))
     mixed = at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"), *told).where("x < y")
     mixed = put(mixed.groupBy("members", "u", "v").agg(F.min("h").alias("h"), F.count("*").alias("times")).select("h", "members", "times"), "mixed")
-    return put(at.join(mixed, "h"), "apart")
+    return put(at.join(mixed, "h"), "apart"), labels.where("label <> node_").select(F.col("label").alias("a"), F.col("node_").alias("b"))
 
 
 def similar_links(texts: DataFrame, put: Put) -> DataFrame:
     """Links (a, b), a < b, between ``node``s that connect all whose texts ``t`` reach the least similarity, and no others.
 
-    Rows of a node have the same text.
+    Rows of a node have the same text. Links that were found are kept as stars, so that components start from what is connected already.
     """
     p, q = SIMILAR
     marked = _marked(texts, put)
@@ -313,10 +313,11 @@ def similar_links(texts: DataFrame, put: Put) -> DataFrame:
     # the texts that share a first digest with another, once: all later pairs are between these
     held = put(texts.where("t <> ''").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "held")
     links = _similar(tested, held, marked, put)
-    crowded = _apart(shared, links, put).where(F.col("members") > GROUP_ROWS)
+    crowded, links = _apart(shared, links, put)
+    crowded = crowded.where(F.col("members") > GROUP_ROWS)
     closest = put(_blocks(crowded, marked, True).join(tested, ["a", "b"], "left_anti"), "closest")
     links, tested = links.unionAll(_similar(closest, held, marked, put)), tested.unionAll(closest)
-    apart = _apart(shared, links, put)
+    apart, links = _apart(shared, links, put)
     few = apart.where(F.col("members") <= GROUP_ROWS)
     x, y = few.alias("x"), few.alias("y")
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))

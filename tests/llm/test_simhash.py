@@ -71,6 +71,20 @@ def test_components_match_brute_force(spark, segments):
     assert groups(got) == groups(want)
 
 
+def test_stars_take_no_round(spark):
+    """Links that are stars around their smallest nodes are written once and not moved again; a chain is."""
+    names, put = [], Put(spark)
+
+    def noted(df, name):
+        names.append(name)
+        return put(df, name)
+
+    labelled = lambda pairs: {r.node_: r.label for r in S.components(spark.createDataFrame(pairs, "a long, b long"), noted).collect()}
+    assert labelled([(1, 2), (3, 1), (5, 4), (2, 1)]) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} and names == ["links"]
+    assert labelled([(1, 2), (2, 3), (4, 3)]) == dict.fromkeys((1, 2, 3, 4), 1) and "stars" in names
+    assert labelled([(7, 7)]) == {}
+
+
 def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BUCKET_ROWS", 16)
     rng = random.Random(1)
